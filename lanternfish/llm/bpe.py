@@ -96,3 +96,63 @@ class Merger:
             else:
                 a, limit, strict = sa[1], sa[2], True
                 sa = self.split(a)
+
+
+class Automaton:
+    """The last token of every prefix of a text, by a deterministic automaton.
+
+    A state keeps what a longer token could still absorb and the last token at
+    each place in it. States are made when first reached and remembered up to a
+    bound.
+    """
+
+    STATES = 500_000
+
+    def __init__(self, tokens, merger: Merger):
+        self.tokens, self.merger = tokens, merger
+        self.open = {t[:k] for t in tokens for k in range(1, len(t))}
+        self._begin()
+
+    def _begin(self) -> None:
+        self.states: dict[tuple, dict] = {}
+        self.start = self._state("", (None,))
+
+    def _state(self, rest: str, last: tuple) -> dict:
+        """A state: (next state, last token) by letter, and under None what it stands for."""
+        key = (rest, last)
+        if (state := self.states.get(key)) is None:
+            state = self.states[key] = {None: key}
+        return state
+
+    def _compile(self, state: dict, letter: str) -> tuple[dict, str]:
+        rest, last = state[None]
+        text, valid, tokens = rest + letter, self.merger.valid, self.tokens
+        for j in range(len(text)):
+            token = text[j:]
+            if (token in tokens or len(token) == 1) and valid(last[j], token):
+                break
+        else:
+            raise ValueError(f"no token ends {text!r}")
+        k, opened = 0, self.open
+        while k < len(text) and text[k:] not in opened:
+            k += 1
+        state[letter] = out = (self._state(text[k:], (*last[k:], token)), token)
+        return out
+
+    def encode(self, text: str) -> list[str]:
+        if len(self.states) > self.STATES:
+            self._begin()
+        state, last = self.start, []
+        for letter in text:
+            try:
+                state, token = state[letter]
+            except KeyError:
+                state, token = self._compile(state, letter)
+            last.append(token)
+        out, i = [], len(last)
+        while i:
+            token = last[i - 1]
+            out.append(token)
+            i -= len(token)
+        out.reverse()
+        return out

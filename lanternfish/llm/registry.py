@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, token_counts
+from . import html_text, mixing, quality_rules, sentencepiece_codec, token_counts, topk_search, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op4_token_counts": token_counts.query,
+    "op5_url_filter": url_filter.query,
+    "op6_sentencepiece": sentencepiece_codec.query,
+    "op7_html_text": html_text.query,
+    "op8_topk_search": topk_search.query,
     "op10_quality_rules": quality_rules.query,
 }
 
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE_SQL,
+    "op8_topk_search": topk_search.ORACLE_SQL,
 }
