@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, mixing, near_dedup, quality_rules, sentencepiece_codec, token_counts, topk_search, url_filter
+from . import html_text, mixing, near_dedup, quality_rules, sentencepiece_codec, substring_dedup, token_counts, topk_search, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_sentencepiece": sentencepiece_codec.query,
     "op7_html_text": html_text.query,
     "op8_topk_search": topk_search.query,
+    "op9_substring_dedup": substring_dedup.query,
     "op10_quality_rules": quality_rules.query,
 }
 
