@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import html_text, mixing, near_dedup, quality_rules, sentencepiece_codec, substring_dedup, token_counts, topk_search, url_filter
+from . import html_text, mixing, near_dedup, quality_knn, quality_rules, sentencepiece_codec, substring_dedup, token_counts, topk_search, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
+    "op2_quality_knn": quality_knn.query,
     "op3_near_dedup": near_dedup.query,
     "op4_token_counts": token_counts.query,
     "op5_url_filter": url_filter.query,
