@@ -69,27 +69,62 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHasher:
-    """64-bit hashes of words, remembered up to a bounded number of words."""
-
-    def __init__(self, limit: int = 400_000):
-        self.known: dict[str, int] = {}
-        self.limit = limit
-
-    def __call__(self, ws: list[str]) -> np.ndarray:
-        import xxhash
-
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        out = [known.get(w) for w in ws]
-        if None in out:
-            digest = xxhash.xxh64_intdigest
-            for i, h in enumerate(out):
-                if h is None:
-                    w = ws[i]
-                    out[i] = known[w] = digest(w.encode("utf-8", "surrogatepass"))
-        return np.array(out, dtype=np.uint64)
+_RNG = np.random.default_rng(0x5EED)
+_BYTE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
+_BYTE_LOWER = _BYTE.copy()
+_BYTE_LOWER[65:91] = _BYTE[97:123]
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_P = 0x9E3779B97F4A7C55
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64)] * 2
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the hash's base, and of its inverse, up to n."""
+    if len(_POWERS[0]) < n:
+        n = 1 << (n - 1).bit_length()
+        for k, base in enumerate((_P, pow(_P, -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.cumprod(steps)
+    return _POWERS
+
+
+def word_hashes(text: str | None, lower: bool = False, segment: int = 1 << 20) -> np.ndarray:
+    """64-bit hashes of the words of a whole text, in order, without a Python object for each.
+
+    A word's hash is a polynomial in its bytes, read off running sums over the
+    text. lower: as if A-Z were a-z. Long texts go by segments that end at white
+    space, so memory follows the longest word and not the text.
+    """
+    if not text:
+        return np.empty(0, np.uint64)
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    out, at = [], 0
+    while at < len(data):
+        end = min(at + segment, len(data))
+        if end < len(data):
+            blank = np.flatnonzero(_BLANK[data[at:end]])
+            if len(blank):
+                end = at + int(blank[-1]) + 1
+            else:
+                rest = np.flatnonzero(_BLANK[data[end:]])
+                end = end + int(rest[0]) + 1 if len(rest) else len(data)
+        out.append(_segment_hashes(data[at:end], _BYTE_LOWER if lower else _BYTE))
+        at = end
+    return np.concatenate(out)
+
+
+def _segment_hashes(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    edge = np.diff(np.concatenate([[True], _BLANK[data], [True]]).view(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    power, inverse = _powers(len(data) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(table[data] * power[: len(data)], out=sums[1:])
+        return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:

@@ -5,7 +5,7 @@ also starts in a document with a smaller doc_id.
 
 1. Passages. The windows of a document fall into runs that share an anchor: the
    least hash of the ``ANCHOR``-word phrases in the window. Equal windows have
-   equal anchors wherever they stand, so only runs meet, about one for five words,
+   equal anchors wherever they stand, so only runs meet, about one for four words,
    and a run whose anchor is found in one document alone is done with.
 2. Confirmation. Equal runs are counted as one class with its smallest doc_id. A
    run in any later document recurs as a whole. Only where an anchor has several
@@ -14,13 +14,13 @@ also starts in a document with a smaller doc_id.
    the joins back are ordinary equi-joins that Spark splits where one is hot.
 3. Location. Documents come together with their confirmed passages. Each block of
    documents (``BLOCK_CHARS`` characters) is a shard: its passages' windows are
-   compiled, as sequences of the block's word numbers, into an Aho-Corasick
-   automaton that keeps the smallest doc_id of each, and every document of the
-   block is streamed through it to find all occurrences. An automaton holds no
-   more windows than its block has words, whatever the size of the corpus.
+   compiled, neighbouring ones as one passage and each word as one letter, into an
+   Aho-Corasick automaton, and every document of the block is streamed through it
+   to find all occurrences. An automaton has no more states than its block has
+   words, whatever the size of the corpus.
 
-Classes are told apart by 96 bits and windows by 128, automata by the words
-themselves.
+Classes are told apart by 96 bits and windows by 128 bits of hash, passages in an
+automaton by the words themselves.
 
 Defined cases: null, empty and shorter texts than a window lose nothing; repeated
 rows of one doc_id don't remove each other; extra columns are ignored by
@@ -38,10 +38,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHasher, covered, grams, materialize, mix64, table, words
+from .common import WORD, grams, materialize, mix64, table, word_hashes, words
 
 WINDOW = 13
-ANCHOR = 5
+ANCHOR = 7
 BLOCK_CHARS = 4_000_000
 _WORD = re.compile(WORD)
 
@@ -76,9 +76,8 @@ def _classes(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """(anchor, cls, lo, hi): smallest and largest doc_id of each class, combined in each batch before any shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for b in batches:
-            found = [(np.full(len(r[0]), i, np.int64), r[2], r[3]) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t and i is not None and len((r := runs(hasher(words(t)), window, anchor))[0])]
+            found = [(np.full(len(r[0]), i, np.int64), r[2], r[3]) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t and i is not None and len((r := runs(word_hashes(t), window, anchor))[0])]
             if not found:
                 continue
             doc, a, c = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -106,13 +105,12 @@ def _places(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """(low32, cls, doc, mark, start, size) of every run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for b in batches:
             for s in range(0, b.num_rows, 512):
                 part = b.slice(s, 512)
                 rows = []
                 for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    if t and i is not None and len((r := runs(hasher(words(t)), window, anchor))[0]):
+                    if t and i is not None and len((r := runs(word_hashes(t), window, anchor))[0]):
                         n = len(r[0])
                         rows.append((r[2].astype(np.int32), r[3], np.full(n, i, np.int64), np.full(n, _text_mark(t), np.int32), r[0].astype(np.int32), r[1].astype(np.int32)))
                 if rows:
@@ -136,10 +134,9 @@ def _windows(marked: DataFrame, doubtful: DataFrame, window: int) -> DataFrame:
     lists = doubtful.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for b in batches:
             for i, mark, text, rs in zip(*(b.column(x).to_pylist() for x in ("doc", "mark", "text", "runs")), strict=True):
-                h = hasher(words(text))
+                h = word_hashes(text)
                 at = np.unique(np.concatenate([np.arange(r["start"], r["start"] + r["size"]) for r in rs]))
                 w1, w2 = grams(h, window), grams(mix64(h), window)
                 yield pa.RecordBatch.from_arrays([pa.array(w1[at].view(np.int64)), pa.array(w2[at].view(np.int64)), pa.array(np.full(len(at), i, np.int64)), pa.array(np.full(len(at), mark, np.int32)), pa.array(at.astype(np.int32))], ["w1", "w2", "doc", "mark", "start"])
@@ -159,41 +156,64 @@ def passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Dat
     return whole.unionByName(alone)
 
 
-def _automaton(block: list[tuple[int, list[int], list]], window: int):
-    """Aho-Corasick automaton of a block's passages: windows as sequences of word numbers, with their smallest doc_id."""
+def _merged(start: np.ndarray, size: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
+    """(first window, windows, largest first) of a document's runs, neighbouring ones as one."""
+    order = np.argsort(start, kind="stable")
+    start, size, first = start[order], size[order], first[order]
+    at = np.flatnonzero(np.concatenate([[True], start[1:] > np.maximum.accumulate(start + size)[:-1]]))
+    ends = np.maximum.reduceat(start + size, at)
+    return list(zip(start[at].tolist(), (ends - start[at]).tolist(), np.maximum.reduceat(first, at).tolist(), strict=True))
+
+
+class _Letters(dict):
+    """A letter for each word of a block, so that a document is a string and a passage a substring."""
+
+    def __missing__(self, word: str) -> str:
+        n = len(self) + 1
+        letter = self[word] = chr(n if n < 0xD800 else n + 0x800)
+        return letter
+
+
+def _automaton(block: list[tuple[int, str, list]], window: int):
+    """Aho-Corasick automaton of a block's passages, each with the last of the documents that its windows start in."""
     import ahocorasick
 
-    first: dict[tuple[int, ...], int] = {}
-    for _, ids, found in block:
-        for p in found or ():
-            for s in range(p["start"], p["start"] + p["size"]):
-                key = tuple(ids[s : s + window])
-                if len(key) == window and p["first"] < first.get(key, p["first"] + 1):
-                    first[key] = p["first"]
-    if not first:
+    latest: dict[str, int] = {}
+    for _, text, found in block:
+        for start, size, first in found:
+            passage = text[start : start + size + window - 1]
+            if len(passage) == size + window - 1:
+                latest[passage] = min(first, latest.get(passage, first))
+    if not latest:
         return None
-    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for key, doc in first.items():
-        machine.add_word(key, doc)
+    machine = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+    for passage, first in latest.items():
+        machine.add_word(passage, (len(passage), first))
     machine.make_automaton()
     return machine
 
 
-def removed(block: list[tuple[int, str | None, list]], window: int = WINDOW) -> list[tuple[list[str], np.ndarray]]:
-    """Words of each document (doc_id, text, passages) of a block and the mask of those that go."""
-    numbers: dict[str, int] = {}
+def removed(block: list[tuple[int, str | None, list]], window: int = WINDOW) -> list[tuple[list[str], np.ndarray | None]]:
+    """Words of each document (doc_id, text, merged runs) of a block, and the mask of those that go (None: none).
+
+    Every document is streamed through the automaton; a passage goes where it is
+    found in a document later than all those that its windows start in.
+    """
+    letters = _Letters()
     split = [words(t) for _, t, _ in block]
-    numbered = [(i, [numbers.setdefault(w, len(numbers) + 1) for w in ws], found) for (i, _, found), ws in zip(block, split, strict=True)]
-    machine = _automaton(numbered, window)
+    spelled = [(i, "".join(map(letters.__getitem__, ws)), found) for (i, _, found), ws in zip(block, split, strict=True)]
+    machine = _automaton(spelled, window)
     out = []
-    for (doc, ids, _), ws in zip(numbered, split, strict=True):
-        gone = np.zeros(len(ws), bool)
+    for (doc, text, _), ws in zip(spelled, split, strict=True):
+        gone = None
         if machine is not None and len(ws) >= window and doc is not None:
-            ends = [e for e, first in machine.iter(tuple(ids)) if first < doc]
-            if ends:
-                starts = np.zeros(len(ws), bool)
-                starts[np.array(ends) - window + 1] = True
-                gone = covered(starts, window, len(ws))
+            spans = [(e + 1 - n, e + 1) for e, (n, first) in machine.iter(text) if first < doc]
+            if spans:
+                edge = np.zeros(len(ws) + 1, np.int64)
+                a, b = np.array(spans).T
+                np.add.at(edge, a, 1)
+                np.add.at(edge, b, -1)
+                gone = np.cumsum(edge[:-1]) > 0
         out.append((ws, gone))
     return out
 
@@ -214,13 +234,20 @@ def _located(docs: DataFrame, found: DataFrame, names: list[str]) -> DataFrame:
 
 def _blocks(b: pa.RecordBatch, id_at: int, text_at: int, chars: int):
     """Slices of a batch with about ``chars`` characters each, and their rows for ``removed``."""
-    ids, texts, found = b.column(id_at).to_pylist(), b.column(text_at).to_pylist(), b.column(b.num_columns - 1).to_pylist()
-    begin = size = 0
+    ids, texts, lists = b.column(id_at).to_pylist(), b.column(text_at).to_pylist(), b.column(b.num_columns - 1)
+    offsets, there = lists.offsets.to_numpy(), lists.is_valid().to_numpy(zero_copy_only=False)
+    start, size, first = (lists.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+    found = [_merged(start[o:e], size[o:e], first[o:e]) if v and e > o else [] for o, e, v in zip(offsets, offsets[1:], there, strict=False)]
+    begin = held = 0
     for k, t in enumerate(texts):
-        size += len(t or "")
-        if size >= chars or k == len(texts) - 1:
+        held += len(t or "")
+        if held >= chars or k == len(texts) - 1:
             yield b.slice(begin, k + 1 - begin), list(zip(ids[begin : k + 1], texts[begin : k + 1], found[begin : k + 1], strict=True))
-            begin, size = k + 1, 0
+            begin, held = k + 1, 0
+
+
+def _kept(ws: list[str], gone: np.ndarray | None) -> str:
+    return " ".join(ws if gone is None else [w for w, g in zip(ws, gone.tolist(), strict=True) if not g])
 
 
 def digest(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, chars: int = BLOCK_CHARS) -> DataFrame:
@@ -230,7 +257,7 @@ def digest(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, chars: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, block in _blocks(b, 0, 1, chars):
-                rows = [(len(ws), int(gone.sum()), hashlib.sha256(" ".join([w for w, g in zip(ws, gone, strict=True) if not g] if gone.any() else ws).encode("utf-8", "surrogatepass")).hexdigest()) for ws, gone in removed(block, window)]
+                rows = [(len(ws), 0 if gone is None else int(gone.sum()), hashlib.sha256(_kept(ws, gone).encode("utf-8", "surrogatepass")).hexdigest()) for ws, gone in removed(block, window)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))]], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return _located(slim, passages(slim, window, anchor), ["doc_id", "text"]).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
@@ -259,7 +286,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, block in _blocks(b, id_at, text_at, chars):
-                texts = [t if t is None or not gone.any() else cut(t, gone) for (_, t, _), (_, gone) in zip(block, removed(block, window), strict=True)]
+                texts = [t if t is None or gone is None else cut(t, gone) for (_, t, _), (_, gone) in zip(block, removed(block, window), strict=True)]
                 columns = list(part.columns[:-1])
                 if n_at is not None:
                     was = columns[n_at].to_pylist()
