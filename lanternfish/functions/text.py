@@ -73,19 +73,13 @@ def phrase_count(tokens: Column, phrase: list[str], prefix: bool = False) -> Col
     """How often a phrase stands in an array of tokens; with prefix, its last token is the beginning of one."""
     if not phrase:
         return F.lit(0)
-    n = len(phrase)
-    matches = (lambda t, p: t.startswith(p)) if prefix else (lambda t, p: t == p)
-    if n == 1:
-        return F.size(F.filter(tokens, lambda t: matches(t, phrase[0])))
-
-    def here(i: Column) -> Column:
-        at = lambda k: F.try_element_at(tokens, i + F.lit(k))
-        out = matches(at(n - 1), phrase[-1])
-        for k in range(n - 2, -1, -1):
-            out = (at(k) == phrase[k]) & out
-        return F.coalesce(out, F.lit(False))
-
-    return F.when(F.size(tokens) >= n, F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1))), here))).otherwise(0)
+    if len(phrase) == 1:
+        return F.size(F.filter(tokens, lambda t: t.startswith(phrase[0]) if prefix else t == phrase[0]))
+    # Over the joined tokens the array is read once; a look-ahead lets occurrences overlap.
+    mark = "\x01"
+    rest = "".join(mark + re.escape(t) for t in phrase[1:]) + ("" if prefix else mark)
+    joined = F.concat(F.lit(mark), F.array_join(tokens, mark), F.lit(mark))
+    return F.regexp_count(joined, F.lit(f"{mark}{re.escape(phrase[0])}(?={rest})"))
 
 
 def glob_pattern(glob: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 RRF_K = 60
 #: Weights of modalities and of where a query came from.
-MODALITY = {"vec": 1.0, "fts": 1.0}
+MODALITY = {"vec": 1.0, "fts": 1.1}
 SOURCE = {"original": 1.0, "expanded": 0.25}
 
 
@@ -48,17 +49,27 @@ def final_order():
     return [F.desc("score"), F.asc("file_path"), F.asc("line_num"), F.asc("end_line"), F.asc("rowid")]
 
 
-def rerank_blend(results: DataFrame, scores: DataFrame, order: Sequence, top_weight: float = 0.75, bottom_weight: float = 0.4, column: str = "score") -> DataFrame:
+def blend_weights(top: float, bottom: float) -> tuple[float, float]:
+    """Weights inside 0 to 1, the higher first; 0.8 and 0.2 where they are no numbers."""
+    clean = [min(1.0, max(0.0, w)) if math.isfinite(w) else d for w, d in ((top, 0.8), (bottom, 0.2))]
+    return max(clean), min(clean)
+
+
+def rerank_blend(results: DataFrame, scores: DataFrame, order: Sequence, top_n: int = 20, top_weight: float = 0.8, bottom_weight: float = 0.2, column: str = "score") -> DataFrame:
     """Blend of retrieval scores with a reranker's 0 to 10, by position.
 
-    results are the bounded list of candidates; the weight of retrieval goes
-    linearly from top_weight at the first to bottom_weight at the last. Rows that
-    scores (rowid, rerank) lacks keep their retrieval score.
+    results are a bounded list in the given order, of which the first top_n were
+    candidates; the weight of retrieval goes linearly from top_weight at the first
+    candidate to bottom_weight at the last. Rows that scores (rowid, rerank) lacks
+    keep their retrieval score.
     """
-    everything = Window.partitionBy(F.lit(1)).orderBy(*order)
-    placed = results.withColumn("pos", F.row_number().over(everything) - 1).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
+    top_weight, bottom_weight = blend_weights(top_weight, bottom_weight)
+    everything = Window.partitionBy(F.lit(1))
+    placed = results.withColumn("pos", F.row_number().over(everything.orderBy(*order)) - 1)
+    total = F.count(F.lit(1)).over(everything)
+    placed = placed.withColumn("total", F.least(F.lit(top_n), total) if top_n > 0 else total)
     step = F.coalesce(F.try_divide(F.col("pos").cast("double"), F.col("total") - 1), F.lit(0.0))
-    w = F.lit(top_weight) + (bottom_weight - top_weight) * step
+    w = F.lit(top_weight) - F.lit(top_weight - bottom_weight) * step
     joined = placed.join(scores, "rowid", "left")
-    blended = F.when(F.col("rerank").isNull(), F.col(column)).otherwise(w * F.col(column) + (F.lit(1.0) - w) * F.col("rerank") / 10.0)
+    blended = F.when(F.col("rerank").isNull() | (F.col("pos") >= F.col("total")), F.col(column)).otherwise(w * F.col(column) + (F.lit(1.0) - w) * F.col("rerank") / 10.0)
     return joined.withColumn(column, blended).orderBy(F.desc(column), "pos").drop("pos", "total", "rerank")

@@ -1,6 +1,420 @@
-"""Registered queries of the retrieval engine and their DuckDB equivalents."""
+"""Registered queries of the retrieval engine and their DuckDB equivalents.
+
+The driver's tables play the engine's: documents are chunks (rowid = doc_id),
+embeddings are vectors (rowid = vec_id, label as metadata), pages are files by
+their urls, conversations are session logs.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lanternfish.functions import text as X
+from lanternfish.functions import vectors as V
+from lanternfish.operators import bm25, fusion, knn
+from lanternfish.operators.chunking.formats import window_chunks
+from lanternfish.operators.chunking.session import session_turns
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").withColumnRenamed("vec_id", "rowid")
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return docs.select(F.col("doc_id").alias("rowid"), "source", F.col("text").alias("chunk_text"), F.col("lang").alias("language"), F.lit("").alias("chunk_kind"), F.lit("").alias("symbol"))
+
+
+def query_vector(spark: SparkSession, d: str, vec_id: int = 0) -> list[float]:
+    """One row by its id: a query that came from outside."""
+    return list(vectors(spark, d).filter(F.col("rowid") == vec_id).select("embedding").first()[0])
+
+
+# ---------------------------------------------------------------- vectors
+
+_DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1] * p[2]))"
+_D = "list_transform({0}, lambda x: CAST(x AS DOUBLE))"
+_VQ = f"WITH v AS (SELECT vec_id AS rowid, label, {_D.format('embedding')} AS e FROM embeddings), q AS (SELECT e AS qe FROM v WHERE rowid = 0)"
+_COS = f"1 - {_DOT.format(a='e', b='qe')} / (sqrt({_DOT.format(a='e', b='e')}) * sqrt({_DOT.format(a='qe', b='qe')}))"
+_L2 = "sqrt(list_sum(list_transform(list_zip(e, qe), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))"
+_L1 = "list_sum(list_transform(list_zip(e, qe), lambda p: abs(p[1] - p[2])))"
+
+
+def _nearest(distance: str, where: str = "TRUE", k: int = 10) -> str:
+    return f"{_VQ} SELECT rowid, round(d, 6) + CAST(0 AS DOUBLE) AS distance FROM (SELECT rowid, label, {distance} AS d FROM v, q) WHERE {where} ORDER BY d, rowid LIMIT {k}"
+
+
+def _shown(hits: DataFrame) -> DataFrame:
+    return hits.select("rowid", (F.round("distance", 6) + 0.0).alias("distance"))
+
+
+@query(_nearest(_COS))
+def knn_cosine_top10(spark, d):
+    return _shown(knn.knn(vectors(spark, d), query_vector(spark, d), 10))
+
+
+@query(_nearest(_L2))
+def knn_l2_top10(spark, d):
+    return _shown(knn.knn(vectors(spark, d), query_vector(spark, d), 10, "l2"))
+
+
+@query(_nearest(_L1))
+def knn_l1_top10(spark, d):
+    return _shown(knn.knn(vectors(spark, d), query_vector(spark, d), 10, "l1"))
+
+
+@query(_nearest(_COS, "label IN (1, 3)"))
+def knn_label_filtered(spark, d):
+    return _shown(knn.knn(vectors(spark, d), query_vector(spark, d), 10, where=F.col("label").isin(1, 3)))
+
+
+@query(_nearest(_COS, "rowid IN (SELECT doc_id FROM labels WHERE quality = 1)"))
+def knn_rowid_in(spark, d):
+    ids = table(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("rowid"))
+    return _shown(knn.knn(vectors(spark, d), query_vector(spark, d), 10, rowids=ids))
+
+
+@query(_nearest(_COS, "d > 0.6 AND d <= 0.9"))
+def knn_distance_range(spark, d):
+    return _shown(knn.knn(vectors(spark, d), query_vector(spark, d), 10, distance_where=lambda x: (x > 0.6) & (x <= 0.9)))
+
+
+@query(f"{_VQ}, s AS (SELECT rowid, label, {_COS} AS d FROM v, q) SELECT label, rowid, CAST(r AS INTEGER) AS rank, round(d, 6) + CAST(0 AS DOUBLE) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d, rowid) AS r FROM s) WHERE r <= 3")
+def knn_per_partition_top3(spark, d):
+    hits = knn.knn_per_partition(vectors(spark, d), query_vector(spark, d), 3, "label")
+    return hits.select("label", "rowid", "rank", (F.round("distance", 6) + 0.0).alias("distance"))
+
+
+@query(f"{_VQ}, qs AS (SELECT rowid AS query_id, e AS qe FROM v WHERE rowid % 50 = 7), s AS (SELECT query_id, rowid, {_COS} AS d FROM v, qs) SELECT query_id, CAST(r AS INTEGER) AS rank, rowid, round(d, 6) + CAST(0 AS DOUBLE) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, rowid) AS r FROM s) WHERE r <= 5")
+def knn_batch_queries(spark, d):
+    v = vectors(spark, d)
+    asked = v.filter("rowid % 50 = 7").select(F.col("rowid").alias("query_id"), "embedding")
+    return knn.knn_batch(v, asked, 5).withColumn("distance", F.round("distance", 6) + 0.0)
+
+
+_STEP = "CAST(CAST(CAST(2 AS DOUBLE) / CAST(255 AS DOUBLE) AS FLOAT) AS DOUBLE)"
+_INT8 = f"list_transform(embedding, lambda x: trunc(greatest(least((CAST(x AS DOUBLE) + 1) / {_STEP} - 128, 127), -128)))"
+
+
+@query(f"WITH v AS (SELECT vec_id AS rowid, {_INT8} AS e FROM embeddings), q AS (SELECT e AS qe FROM v WHERE rowid = 0) SELECT rowid, round(d, 6) + CAST(0 AS DOUBLE) AS distance FROM (SELECT rowid, {_COS} AS d FROM v, q) ORDER BY d, rowid LIMIT 10")
+def knn_int8_cosine(spark, d):
+    v = vectors(spark, d).select("rowid", V.quantize_int8(F.col("embedding")).alias("embedding"))
+    q = list(v.filter("rowid = 0").select("embedding").first()[0])
+    return _shown(knn.knn(v, q, 10))
+
+
+@query(f"SELECT vec_id AS rowid, CAST(list_sum({_INT8}) AS BIGINT) AS total, CAST(list_min({_INT8}) AS INTEGER) AS least, CAST(list_max({_INT8}) AS INTEGER) AS most FROM embeddings")
+def vec_quantize_checksum(spark, d):
+    v = vectors(spark, d).select("rowid", V.quantize_int8(F.col("embedding")).alias("q"))
+    return v.select("rowid", F.aggregate("q", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.array_min("q").cast("int").alias("least"), F.array_max("q").cast("int").alias("most"))
+
+
+@query(f"WITH v AS (SELECT vec_id AS rowid, {_D.format('embedding')} AS e FROM embeddings), n AS (SELECT rowid, e, sqrt({_DOT.format(a='e', b='e')}) AS n FROM v) SELECT rowid, round(list_sum(list_transform(e, lambda x: CAST(CAST(x / n AS FLOAT) AS DOUBLE))), 5) AS total FROM n")
+def vec_normalize_norms(spark, d):
+    return vectors(spark, d).select("rowid", F.round(V.fold(F.transform(V.normalize(F.col("embedding")), lambda x: x.cast("double"))), 5).alias("total"))
+
+
+@query("WITH v AS (SELECT vec_id AS rowid, embedding[9:16] AS a, embedding[17:24] AS b FROM embeddings) SELECT rowid, round(list_sum(list_transform(list_zip(a, b), lambda p: CAST(CAST(CAST(p[1] AS DOUBLE) + CAST(p[2] AS DOUBLE) AS FLOAT) AS DOUBLE))), 5) AS added, round(list_sum(list_transform(list_zip(a, b), lambda p: CAST(CAST(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE) AS FLOAT) AS DOUBLE))), 5) AS subtracted FROM v")
+def vec_slice_add_sub(spark, d):
+    a, b = (V.cut(F.col("embedding"), s, s + 8) for s in (8, 16))
+    total = lambda v: F.round(V.fold(F.transform(v, lambda x: x.cast("double"))), 5)
+    return vectors(spark, d).select("rowid", total(V.add(a, b)).alias("added"), total(V.subtract(a, b)).alias("subtracted"))
+
+
+@query("SELECT CAST(pos - 1 AS INTEGER) AS pos, count(*) AS n, round(avg(CAST(x AS DOUBLE)), 6) AS mean, round(CAST(max(x) AS DOUBLE), 6) AS most FROM (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY pos")
+def vec_each_stats(spark, d):
+    x = vectors(spark, d).select(V.each(F.col("embedding")))
+    return x.groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("col").cast("double")), 6).alias("mean"), F.round(F.max(F.col("col").cast("double")), 6).alias("most"))
+
+
+@query("WITH v AS (SELECT vec_id AS rowid, embedding AS e FROM embeddings), q AS (SELECT e AS qe FROM v WHERE rowid = 0) SELECT rowid, CAST(list_sum(list_transform(list_zip(e, qe), lambda p: CASE WHEN (p[1] > 0) <> (p[2] > 0) THEN 1 ELSE 0 END)) AS BIGINT) AS distance FROM v, q")
+def vec_binary_hamming(spark, d):
+    bits = vectors(spark, d).select("rowid", V.quantize_binary(F.col("embedding")).alias("b"))
+    q = F.array(*[F.lit(int(x)).cast("long") for x in bits.filter("rowid = 0").first()["b"]])
+    return bits.select("rowid", V.distance_hamming(F.col("b"), q).alias("distance"))
+
+
+# ---------------------------------------------------------------- keywords
+
+_TOKENS = "WITH t AS (SELECT doc_id AS rowid, source, lang, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS a, regexp_extract_all(strip_accents(lower(lang)), '[\\p{L}\\p{N}]+') AS b FROM documents), s AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(a) + len(b)) AS avgdl FROM t)"
+
+
+def _bm25_sql(conditions: list[str], keep: str, limit: int = 20, where: str = "TRUE", name: str = "hits") -> str:
+    """CTE ``name`` of the best rows for phrases given as conditions on a token x."""
+    tf = [c if c.startswith("(") else f"len(list_filter(a, lambda x: {c})) + len(list_filter(b, lambda x: {c}))" for c in conditions]
+    cols = ", ".join(f"{t} AS f{k}" for k, t in enumerate(tf))
+    df = ", ".join(f"CAST(sum(CASE WHEN f{k} > 0 THEN 1 ELSE 0 END) AS DOUBLE) AS n{k}" for k in range(len(tf)))
+    idf = [f"CASE WHEN ln((n - n{k} + 0.5) / (n{k} + 0.5)) > 0 THEN ln((n - n{k} + 0.5) / (n{k} + 0.5)) ELSE 1e-6 END" for k in range(len(tf))]
+    parts = " + ".join(f"({i}) * (f{k} * 2.2) / (f{k} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for k, i in enumerate(idf))
+    return f"{name}_c AS (SELECT rowid, source, len(a) + len(b) AS dl, {cols} FROM t), {name}_d AS (SELECT {df} FROM {name}_c), {name} AS (SELECT rowid, -({parts}) AS rank FROM {name}_c, {name}_d, s WHERE {keep} AND {where} ORDER BY rank, rowid LIMIT {limit})"
+
+
+_ENDING = " SELECT rowid, round(rank, 6) AS rank FROM hits"
+
+
+def _ranked(hits: DataFrame) -> DataFrame:
+    return hits.select("rowid", F.round("rank", 6).alias("rank"))
+
+
+def _terms(*words: str, prefix: bool = False) -> list[bm25.Phrase]:
+    return [bm25.phrase(w, prefix=prefix) for w in words]
+
+
+@query(f"{_TOKENS}, {_bm25_sql(["x = 'the'", "x = 'haed'", "x = 'ound'"], 'f0 + f1 + f2 > 0')}{_ENDING}")
+def bm25_or_top20(spark, d):
+    return _ranked(bm25.top(bm25.score(bm25.index(chunks(spark, d)), _terms("the", "haed", "ound"), bm25.any_of(3)), 20))
+
+
+@query(f"{_TOKENS}, {_bm25_sql(["x = 'the'", "x = 'ound'"], 'f0 > 0 AND f1 > 0')}{_ENDING}")
+def bm25_and_top20(spark, d):
+    return _ranked(bm25.top(bm25.score(bm25.index(chunks(spark, d)), _terms("the", "ound"), bm25.all_of(2)), 20))
+
+
+@query(f"{_TOKENS}, {_bm25_sql(["starts_with(x, 'thound')", "starts_with(x, 'erst')"], 'f0 + f1 > 0')}{_ENDING}")
+def bm25_prefix_top20(spark, d):
+    return _ranked(bm25.top(bm25.score(bm25.index(chunks(spark, d)), _terms("thound", "erst", prefix=True), bm25.any_of(2)), 20))
+
+
+_FR = "(len(list_filter(b, lambda x: x = 'fr')))"
+
+
+@query(f"{_TOKENS}, {_bm25_sql(["x = 'la'", "x = 'ent'", _FR], 'f0 + f1 > 0 AND f2 > 0')}{_ENDING}")
+def bm25_lang_filtered(spark, d):
+    phrases = [*_terms("la", "ent"), bm25.phrase("fr", "language")]
+    keep = lambda tf: bm25.any_of(2)(tf) & (tf[2] > 0)
+    return _ranked(bm25.top(bm25.score(bm25.index(chunks(spark, d)), phrases, keep), 20))
+
+
+@query(f"{_TOKENS}, {_bm25_sql([_FR], 'f0 > 0')}{_ENDING}")
+def filter_only_lang(spark, d):
+    hits = bm25.staged(bm25.index(chunks(spark, d)), "", 20, bm25.filter_phrases(languages=["fr"]))
+    return _ranked(hits)
+
+
+@query(f"{_TOKENS}, {_bm25_sql(["x = 'the'", "x = 'ound'"], 'f0 + f1 > 0', where="source IN ('src1', 'src2')")}{_ENDING}")
+def bm25_source_scoped(spark, d):
+    return _ranked(bm25.top(bm25.score(bm25.index(chunks(spark, d)), _terms("the", "ound"), bm25.any_of(2), sources=["src1", "src2"]), 20))
+
+
+@query(f"{_TOKENS} SELECT rowid, n FROM (SELECT rowid, CAST(len(list_filter(list_zip(a, a[2:]), lambda p: p[1] = 'of' AND p[2] = 'the')) AS BIGINT) AS n FROM t) WHERE n > 0")
+def phrase_match_count(spark, d):
+    i = bm25.index(chunks(spark, d))
+    return i.select("rowid", X.phrase_count(F.col("t_chunk_text"), ["of", "the"]).cast("long").alias("n")).filter("n > 0")
+
+
+def _staged_sql(k: int) -> str:
+    words = ["thound", "erst", "haed"]
+    exact, begin = [f"x = '{w}'" for w in words], [f"starts_with(x, '{w}')" for w in words]
+    any_ = "f0 + f1 + f2 > 0"
+    ctes = ", ".join([_bm25_sql(exact, "f0 > 0 AND f1 > 0 AND f2 > 0", 5 * k, name="h1"), _bm25_sql(exact, any_, 5 * k, name="h2"), _bm25_sql(begin, any_, 5 * k, name="h3")])
+    return f"{_TOKENS}, {ctes}, u AS (SELECT 1 AS stage, * FROM h1 UNION ALL SELECT 2, * FROM h2 UNION ALL SELECT 3, * FROM h3), f AS (SELECT rowid, min(stage) AS stage FROM u GROUP BY rowid), g AS (SELECT f.stage, f.rowid, u.rank FROM f JOIN u USING (rowid, stage)) SELECT rowid, CAST(stage AS INTEGER) AS stage, round(rank, 6) AS rank, round(abs(rank) / (1 + abs(rank)), 6) AS score FROM g WHERE (SELECT count(*) FROM g o WHERE o.stage < g.stage) < {k} ORDER BY stage, g.rank, rowid LIMIT {k}"
+
+
+@query(_staged_sql(20))
+def staged_fts_top20(spark, d):
+    hits = bm25.staged(bm25.index(chunks(spark, d)), "thound erst haed", 20)
+    return hits.select("rowid", "stage", F.round("rank", 6).alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query("SELECT token, count(*) AS n FROM (SELECT unnest(list_distinct(list_transform(list_concat(string_split(regexp_replace(regexp_replace(v, '([^A-Z])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), ' '), [v]), lambda x: lower(x)))) AS token FROM (SELECT event_type || 'Event' || upper(event_type) || 'Id' AS v FROM events)) GROUP BY token")
+def code_tokenize_counts(spark, d):
+    name = F.concat("event_type", F.lit("Event"), F.upper("event_type"), F.lit("Id"))
+    return table(spark, d, "events").select(F.explode(X.query_tokens(name)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_TOKENS} SELECT count(*) AS n, round(avg(len(a) + len(b)), 6) AS avgdl FROM t")
+def corpus_stats(spark, d):
+    return bm25.corpus_stats(bm25.index(chunks(spark, d))).select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(f"{_TOKENS} SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(list_concat(a, b))) AS term FROM t) GROUP BY term ORDER BY df DESC, term LIMIT 50")
+def term_df_top(spark, d):
+    return bm25.vocabulary(bm25.index(chunks(spark, d))).orderBy(F.desc("df"), "term").limit(50)
+
+
+@query(f"{_TOKENS}, w AS (SELECT rowid, a[i] AS term, CAST(i - 1 AS INTEGER) AS pos FROM (SELECT rowid, a, unnest(generate_series(1, len(a))) AS i FROM t)) SELECT term, rowid, count(*) AS tf, min(pos) AS first_pos FROM w WHERE term IN ('haed', 'ound', 'erst') GROUP BY term, rowid")
+def postings_lookup(spark, d):
+    p = bm25.postings(bm25.index(chunks(spark, d))).filter(F.col("term").isin("haed", "ound", "erst") & (F.col("col") == "chunk_text"))
+    return p.select("term", "rowid", F.size("positions").cast("long").alias("tf"), F.element_at("positions", 1).alias("first_pos"))
+
+
+# ---------------------------------------------------------------- fusion
+
+_FTS50 = _bm25_sql(["x = 'the'", "x = 'ound'"], "f0 + f1 > 0", 50)
+_VEC50 = f"v AS (SELECT vec_id AS rowid, {_D.format('embedding')} AS e FROM embeddings), q AS (SELECT e AS qe FROM v WHERE rowid = 0), near AS (SELECT rowid, {_COS} AS d FROM v, q ORDER BY d, rowid LIMIT 50)"
+_LISTS = "lists AS (SELECT rowid, row_number() OVER (ORDER BY rank, rowid) AS r, {fts} AS w FROM hits UNION ALL SELECT rowid, row_number() OVER (ORDER BY d, rowid), {vec} FROM near)"
+
+
+def _two_lists(spark, d, source: str = "original") -> DataFrame:
+    fts = bm25.top(bm25.score(bm25.index(chunks(spark, d)), _terms("the", "ound"), bm25.any_of(2)), 50)
+    near = knn.knn(vectors(spark, d), query_vector(spark, d), 50)
+    return fusion.union_all([fusion.ranked(fts, ["rank", "rowid"], 0, "fts"), fusion.ranked(near, ["distance", "rowid"], 1, "vec", source)])
+
+
+@query(f"{_TOKENS}, {_FTS50}, {_VEC50}, {_LISTS.format(fts='1.0', vec='1.0')} SELECT rowid, round(sum(w / (60 + r)), 10) AS rrf FROM lists GROUP BY rowid ORDER BY round(sum(w / (60 + r)), 10) DESC, rowid LIMIT 20")
+def rrf_hybrid_top20(spark, d):
+    fused = fusion.rrf(_two_lists(spark, d))
+    return fused.select("rowid", F.round("rrf", 10).alias("rrf")).orderBy(F.desc("rrf"), "rowid").limit(20)
+
+
+@query(f"{_TOKENS}, {_FTS50}, {_VEC50}, {_LISTS.format(fts='CAST(1.1 AS DOUBLE)', vec='CAST(0.25 AS DOUBLE)')} SELECT rowid, round(sum(w / (60 + r)), 10) AS rrf FROM lists GROUP BY rowid")
+def rrf_weighted_expanded(spark, d):
+    fused = fusion.rrf(_two_lists(spark, d, "expanded"), modality=fusion.MODALITY, source=fusion.SOURCE)
+    return fused.select("rowid", F.round("rrf", 10).alias("rrf"))
+
+
+@query(f"{_TOKENS}, {_FTS50}, {_VEC50}, {_LISTS.format(fts='1.0', vec='1.0')}, r AS (SELECT rowid, round(sum(w / (60 + r)), 10) AS score FROM lists GROUP BY rowid) SELECT r.rowid, score, source FROM r JOIN documents ON doc_id = r.rowid WHERE score >= 0.012")
+def hybrid_min_score(spark, d):
+    fused = fusion.rrf(_two_lists(spark, d)).select("rowid", F.round("rrf", 10).alias("score"))
+    return fusion.min_score(fused, 0.012).join(chunks(spark, d).select("rowid", "source"), "rowid")
+
+
+@query(f"{_VQ}, n AS (SELECT rowid, {_COS} AS dist FROM v, q ORDER BY dist, rowid LIMIT 30), p AS (SELECT rowid, 1 - dist AS s, row_number() OVER (ORDER BY dist, rowid) - 1 AS pos FROM n), w AS (SELECT p.*, 0.8 - 0.6 * pos / 19 AS w, 4 + 3 * quality AS rr FROM p LEFT JOIN labels ON doc_id = rowid) SELECT rowid, round(CASE WHEN rr IS NULL OR pos >= 20 THEN s ELSE w * s + (1 - w) * rr / 10 END, 6) AS score FROM w")
+def rerank_blend(spark, d):
+    near = knn.knn(vectors(spark, d), query_vector(spark, d), 30).select("rowid", "distance", (1 - F.col("distance")).alias("score"))
+    scores = table(spark, d, "labels").select(F.col("doc_id").alias("rowid"), (F.lit(4.0) + 3 * F.col("quality")).alias("rerank"))
+    return fusion.rerank_blend(near, scores, ["distance", "rowid"], 20).select("rowid", F.round("score", 6).alias("score"))
+
+
+# ---------------------------------------------------------------- chunks
+
+_TURNS = "WITH m AS (SELECT conv_id, turn, role, trim(text) AS text FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> ''), n AS (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, role DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS turn_no FROM m), g AS (SELECT conv_id, turn_no, min(turn) AS start_line, max(turn) AS end_line, max(CASE WHEN role = 'user' THEN text END) AS u, coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, chr(10) || chr(10) ORDER BY turn, text), '') AS a FROM n WHERE turn_no > 0 GROUP BY conv_id, turn_no), x AS (SELECT *, CASE WHEN a = '' THEN 'User: ' || u ELSE 'User: ' || u || chr(10) || chr(10) || 'Assistant: ' || a END AS chunk_text FROM g)"
+
+
+@query(f"{_TURNS} SELECT conv_id, turn_no, start_line, end_line, chunk_text, conv_id || '#' || turn_no AS symbol FROM x WHERE strlen(chunk_text) >= 20")
+def session_turn_text(spark, d):
+    return session_turns(table(spark, d, "conversations"))
+
+
+@query(f"{_TURNS} SELECT conv_id, count(*) AS turns, max(turn_no) AS last_turn FROM x WHERE strlen(chunk_text) >= 20 GROUP BY conv_id")
+def session_turn_counts(spark, d):
+    return session_turns(table(spark, d, "conversations")).groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.max("turn_no").alias("last_turn"))
+
+
+@query("WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), b AS (SELECT doc_id, lines, unnest(generate_series(0, CAST(greatest(0, ceil((len(lines) - 30) / 25.0)) AS BIGINT) * 25, 25)) AS b FROM l), w AS (SELECT doc_id, CAST(b + 1 AS INTEGER) AS line_num, CAST(least(b + 30, len(lines)) AS INTEGER) AS end_line, regexp_replace(array_to_string(lines[b + 1 : b + 30], chr(10)), '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g') AS chunk_text FROM b) SELECT doc_id, line_num, end_line, chunk_text FROM w WHERE strlen(chunk_text) >= 20")
+def window_chunks_30_25(spark, d):
+    return window_chunks(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("SELECT doc_id, CAST(count(*) AS BIGINT) AS paragraphs, CAST(sum(strlen(p)) AS BIGINT) AS bytes FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p FROM documents) WHERE strlen(trim(p)) >= 20 GROUP BY doc_id")
+def markdown_paragraphs(spark, d):
+    p = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("p"))
+    return p.filter(F.octet_length(F.trim("p")) >= 20).groupBy("doc_id").agg(F.count(F.lit(1)).alias("paragraphs"), F.sum(F.octet_length("p")).cast("long").alias("bytes"))
+
+
+# ---------------------------------------------------------------- relations
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INTEGER) AS first_line, CAST(l_quantity + l_linenumber AS INTEGER) AS last_line FROM lineitem WHERE CAST(l_quantity + l_linenumber AS INTEGER) >= 20 AND CAST(l_quantity AS INTEGER) <= 25")
+def line_range_overlap(spark, d):
+    from lanternfish.operators.documents import overlaps
+
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("first_line"), (F.col("l_quantity") + F.col("l_linenumber")).cast("int").alias("last_line"))
+    return li.filter(overlaps(F.col("first_line"), F.col("last_line"), 20, 25))
+
+
+@query("WITH f AS (SELECT o_orderpriority AS path, l_orderkey * 10 + l_linenumber AS id, CAST(l_quantity AS BIGINT) AS bytes FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey <= 200), s AS (SELECT *, sum(bytes + CASE WHEN n = 1 THEN 10 ELSE 0 END) OVER (ORDER BY path, id ROWS UNBOUNDED PRECEDING) AS total FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY id) AS n FROM f)) SELECT path, count(*) AS chunks, CAST(max(total) AS BIGINT) AS total FROM s WHERE total <= 2000 GROUP BY path")
+def multi_get_budget(spark, d):
+    from lanternfish.operators.documents import within_budget
+
+    li = table(spark, d, "lineitem").filter("l_orderkey <= 200").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = li.select(F.col("o_orderpriority").alias("path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").cast("long").alias("bytes"), F.lit(10).cast("long").alias("header"))
+    return within_budget(rows, ["path"], ["id"], 2000).groupBy("path").agg(F.count(F.lit(1)).alias("chunks"), F.max("total").alias("total"))
+
+
+@query("SELECT source, count(*) AS chunks, count(DISTINCT lang) AS files, CAST(sum(n_chars) AS BIGINT) AS chars, max(n_chars) AS largest FROM documents GROUP BY source")
+def folder_status(spark, d):
+    return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("lang").alias("files"), F.sum("n_chars").alias("chars"), F.max("n_chars").alias("largest"))
+
+
+@query("WITH a AS (SELECT o_orderkey AS k, o_orderdate AS m FROM orders WHERE o_orderkey % 10 <> 3), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN o_orderdate + INTERVAL 1 DAY ELSE o_orderdate END AS m FROM orders WHERE o_orderkey % 10 <> 5) SELECT CASE WHEN b.k IS NULL THEN 'deleted' WHEN a.k IS NULL THEN 'new' WHEN a.m = b.m THEN 'unchanged' ELSE 'changed' END AS status, count(*) AS n FROM a FULL OUTER JOIN b ON a.k = b.k GROUP BY 1")
+def incremental_diff(spark, d):
+    from lanternfish.operators.index import diff
+
+    o = table(spark, d, "orders").select(F.lit("s").alias("source"), F.col("o_orderkey").cast("string").alias("file_path"), F.col("o_orderkey").alias("k"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("mtime"))
+    tracked = o.filter("k % 10 <> 3").drop("k")
+    scanned = o.filter("k % 10 <> 5").withColumn("mtime", F.when(F.col("k") % 7 == 0, F.col("mtime") + 86_400_000_000).otherwise(F.col("mtime"))).drop("k")
+    return diff(tracked, scanned).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def prune_sources(spark, d):
+    from lanternfish.operators.index import pruned
+
+    customers = table(spark, d, "customer").select("c_custkey", "c_name")
+    return pruned(customers, table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")
+def semi_rowids(spark, d):
+    ids = table(spark, d, "lineitem").filter("l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey"))
+    return table(spark, d, "supplier").select("s_suppkey", "s_name").join(ids, "s_suppkey", "left_semi")
+
+
+_PREFIXES = {"": "all pages", "en": "English", "de": "German", "en/7": "English sevens"}
+
+
+@query("WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1) AS path FROM pages) SELECT page_id, 'all pages' || CASE WHEN path = 'en' OR starts_with(path, 'en/') THEN ' > English' WHEN path = 'de' OR starts_with(path, 'de/') THEN ' > German' ELSE '' END || CASE WHEN path = 'en/7' OR starts_with(path, 'en/7/') THEN ' > English sevens' ELSE '' END AS context FROM p")
+def context_prefix_match(spark, d):
+    from lanternfish.operators.documents import resolve_context
+
+    path = F.regexp_extract("url", "^[a-z]+://[^/]+/(.*)$", 1)
+    return table(spark, d, "pages").select("page_id", F.array_join(resolve_context(path, F.lit(""), _PREFIXES), " > ").alias("context"))
+
+
+@query("SELECT page_id, url FROM pages WHERE regexp_matches(regexp_extract(url, '[^/]*$'), '^(?:[^/]*\\.html)$')")
+def glob_paths(spark, d):
+    return table(spark, d, "pages").filter(X.matches_glob(F.col("url"), "*.html")).select("page_id", "url")
+
+
+@query(f"{_VQ}, qs AS (SELECT rowid AS query_id, e AS qe, label AS want FROM v WHERE rowid % 50 = 7), s AS (SELECT query_id, want, rowid, label, {_COS} AS d FROM v, qs), h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, rowid) AS r FROM s) WHERE r <= 10), rel AS (SELECT query_id, count(*) AS n FROM s WHERE label = want GROUP BY query_id), m AS (SELECT qs.query_id, count(h.rowid) FILTER (label = h.want) AS found, min(r) FILTER (label = h.want) AS first FROM qs LEFT JOIN h USING (query_id) GROUP BY qs.query_id) SELECT round(avg(coalesce(found, 0) / rel.n), 6) AS recall, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM m JOIN rel USING (query_id)")
+def eval_recall_mrr(spark, d):
+    from lanternfish.operators.evalmetrics import recall_mrr
+
+    v = vectors(spark, d)
+    asked = v.filter("rowid % 50 = 7")
+    hits = knn.knn_batch(v, asked.select(F.col("rowid").alias("query_id"), "embedding"), 10).select("query_id", "rank", "rowid")
+    relevant = asked.select(F.col("rowid").alias("query_id"), "label").join(v.select("label", "rowid"), "label").select("query_id", "rowid")
+    return recall_mrr(hits, relevant).select(F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def upsert_latest_mtime(spark, d):
+    from lanternfish.operators.index import latest
+
+    return latest(table(spark, d, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+@query("SELECT p_type, round(100.0 * count(*) FILTER (p_size > 25) / count(*), 6) AS percent FROM part GROUP BY p_type")
+def progress_percent(spark, d):
+    from lanternfish.operators.index import percent
+
+    p = table(spark, d, "part").groupBy("p_type").agg(F.count_if(F.col("p_size") > 25).alias("done"), F.count(F.lit(1)).alias("total"))
+    return p.select("p_type", F.round(percent(F.col("done"), F.col("total")), 6).alias("percent"))
+
+
+@query("SELECT '[' || printf('%.2f', r) || '] ' || url || ':' || CAST(page_id AS VARCHAR) || '-' || CAST(page_id + 2 AS VARCHAR) || ' [p' || CAST(page_id AS VARCHAR) || '] (a > b)' AS line FROM (SELECT *, page_id / 4.0 AS r FROM pages)")
+def rendered_results(spark, d):
+    from lanternfish.operators.documents import render
+
+    p = table(spark, d, "pages")
+    rows = p.select((F.col("page_id") / 4.0).alias("score"), F.col("url").alias("file_path"), F.col("page_id").alias("line_num"), (F.col("page_id") + 2).alias("end_line"), F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("symbol"), F.array(F.lit("a"), F.lit("b")).alias("context"))
+    return rows.select(render().alias("line"))
