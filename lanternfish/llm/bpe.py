@@ -20,7 +20,7 @@ class Merger:
     """
 
     #: Remembered answers; beyond it they are forgotten and worked out anew.
-    LIMIT = 2_000_000
+    LIMIT = 150_000
 
     def __init__(self, rank: Callable[[str, str], float | None]):
         self.rank = rank
@@ -106,7 +106,7 @@ class Automaton:
     bound.
     """
 
-    STATES = 500_000
+    STATES = 40_000
 
     def __init__(self, tokens, merger: Merger):
         self.tokens, self.merger = tokens, merger

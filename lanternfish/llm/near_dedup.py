@@ -2,11 +2,14 @@
 
 1. Each document becomes its set of shingles, a signature of ``HASHES`` minima,
    and ``BANDS`` bucket keys. Documents with equal sets are one node from here on.
-2. Candidates come from buckets. Every member of a bucket meets the bucket's
-   smallest member. Members that turn out not to be linked to it meet all others;
-   pairs of two that are both linked to it are never formed, so a group of copies
-   costs in proportion to its size. In large buckets the members meet in blocks
-   that emit only pairs that pass step 3.
+2. Candidates come from buckets, in three rounds. Every member of a bucket meets
+   the bucket's smallest member. Members that turn out not to be linked to it
+   meet the likeliest of the others. Then, only in buckets that still hold several
+   components, all members outside the largest meet all others of a different
+   component. So a group of copies costs in proportion to its size, and pairs
+   whose components already agree are never formed. Small buckets meet inside a
+   task; large ones are joined into groups that meet in blocks, where pairs are
+   compared and confirmed without leaving the task.
 3. Signatures are compared in batches. After each batch a pair is pruned if the
    posterior probability that its similarity reaches the threshold (uniform prior)
    is under ``MISS``.
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, ascii_lower, grams, materialize, mix64, table, words
+from .common import grams, materialize, mix64, table, word_hashes
 from .components import components
 
 SHINGLE = 5
@@ -44,21 +47,20 @@ BANDS, ROWS = 32, 6
 HASHES = BANDS * ROWS
 BATCH = 32
 MISS = 1e-7
-#: Buckets over this size meet in blocks.
-LARGE, BLOCK = 48, 1024
+#: Buckets over this size meet in blocks of about so many documents.
+LARGE, BLOCK = 64, 512
 
 _RNG = np.random.default_rng(20240501)
 _A = (_RNG.integers(1, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 
 
-def shingles(text: str | None, hasher: WordHasher, n: int = SHINGLE) -> np.ndarray:
+def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles of a whole text."""
-    ws = words(ascii_lower(text)) if text else []
-    if not ws:
+    h = word_hashes(text, lower=True)
+    if not len(h):
         return np.empty(0, np.uint64)
-    h = hasher(ws)
-    return np.unique(grams(h, min(n, len(h))) if len(h) >= n else grams(h, len(h)) + np.uint64(len(h)))
+    return np.unique(grams(h, n)) if len(h) >= n else grams(h, len(h)) + np.uint64(len(h))
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -107,15 +109,19 @@ def _sigs(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint32).reshape(-1, HASHES)
 
 
+def _short_sigs(column) -> np.ndarray:
+    """Signatures of one byte a hash: chance adds matches and never takes any, so pruning by them is as safe."""
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, HASHES)
+
+
 def features(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, key, sig, bands): key is equal where sets are equal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for b in batches:
             n, keys, sigs, bands = [], [], [], []
             for text in b.column(1).to_pylist():
-                s = shingles(text, hasher, shingle)
+                s = shingles(text, shingle)
                 n.append(len(s))
                 with np.errstate(over="ignore"):
                     keys.append(b"".join(int(x).to_bytes(8, "big") for x in (mix64(s).sum(dtype=np.uint64), mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))) + len(s).to_bytes(4, "big"))
@@ -140,6 +146,14 @@ def _pruned(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
+def linked(p: np.ndarray, q: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether two sets, sorted, reach the threshold."""
+    both = np.concatenate([p, q])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(p) + len(q) - common)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets reach the threshold."""
 
@@ -148,38 +162,104 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             stay = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                stay.append(100 * common >= percent * (len(p) + len(q) - common))
+                stay.append(linked(p, q, percent))
             yield b.select([0, 1]).filter(pa.array(stay, pa.bool_()))
 
     left, right = (sets.select(F.col("doc").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def _large_pairs(members: DataFrame, stray: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Surviving pairs between stray members and all members of large buckets, met in blocks."""
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    place = F.pmod(F.xxhash64("doc"), blocks).cast("int")
-    every = F.sequence(F.lit(0), blocks - 1)
-    left = stray.withColumn("i", place).withColumn("j", F.explode(every)).join(sigs, "doc").select("bucket", "i", "j", "doc", "n", "sig")
-    right = members.withColumn("j", place).withColumn("i", F.explode(every)).join(sigs, "doc").select(*[F.col(c).alias(f"{c}_y") for c in ("bucket", "i", "j", "doc", "n", "sig")])
+def _likely(x: tuple, k: int, y: tuple, percent: int) -> np.ndarray:
+    """Places of y = (docs, sizes, components, short signatures) that may be linked to the k-th of x, in other components."""
+    at = np.flatnonzero((y[2] != x[2][k]) & (100 * np.minimum(x[1][k], y[1]) >= percent * np.maximum(x[1][k], y[1])))
+    return at[survive(np.broadcast_to(x[3][k], (len(at), HASHES)), y[3][at], percent)] if len(at) else at
+
+
+def _rows(b: pa.RecordBatch, *names: str):
+    return zip(*[b.column(n).to_pylist() for n in names], strict=True)
+
+
+def _pair_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
 
-    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+def _small_pairs(rows: DataFrame, short: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Candidate pairs (a, b) of buckets that fit a task: rows (bucket, doc, n, comp, minor); minor rows meet all rows of other components."""
+    full = rows.join(short, "doc").select("bucket", "doc", "n", "comp", "minor", "short")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def close() -> list[tuple[int, int]]:
+            minor = [k for k, r in enumerate(held) if r[4]]
+            if len(held) < 2 or not minor:
+                return []
+            y = tuple(np.array([r[k] for r in held], dtype=np.int64) for k in (1, 2, 3)) + (_short_sigs([r[5] for r in held]),)
+            found = []
+            for k in minor:
+                at = _likely(y, k, y, percent)
+                if best and len(at) > 1:
+                    at = at[[np.argmax((y[3][at] == y[3][k]).sum(axis=1))]]
+                found += [(min(y[0][k], d), max(y[0][k], d)) for d in y[0][at]]
+            return found
+
+        for b in batches:
+            found = []
+            for r in _rows(b, "bucket", "doc", "n", "comp", "minor", "short"):
+                if held and held[0][0] != r[0]:
+                    found += close()
+                    held.clear()
+                held.append(r)
+            yield _pair_batch(found)
+        yield _pair_batch(close())
+
+    return full.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long").distinct()
+
+
+def _block_links(rows: DataFrame, short: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) inside groups of any size: rows (group, doc, n, comp, minor).
+
+    A group meets in blocks of documents: minor ones with all of other
+    components. Pairs are confirmed where they meet and never leave the task;
+    of the links that join the same two components one is enough.
+    """
+    sizes = rows.groupBy("group").agg(F.ceil(F.count("doc") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    full = rows.join(sizes, "group").join(short, "doc").join(sets, "doc")
+    place, every = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    names = ("doc", "n", "comp", "short", "shingles")
+    left = full.filter("minor").withColumn("i", place).withColumn("j", F.explode(every)).select("group", "i", "j", *names)
+    right = full.withColumn("j", place).withColumn("i", F.explode(every)).select(*[F.col(c).alias(f"{c}_y") for c in ("group", "i", "j", *names)])
+
+    def meet(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         found = []
-        if len(x) and len(y):
-            p, q = _sigs(x["sig"]), _sigs(y["sig_y"])
-            xd, yd, xn, yn = x["doc"].to_numpy(), y["doc_y"].to_numpy(), x["n"].to_numpy(), y["n_y"].to_numpy()
-            for k in range(len(x)):
-                at = np.flatnonzero((yd != xd[k]) & (100 * np.minimum(xn[k], yn) >= percent * np.maximum(xn[k], yn)))
-                at = at[survive(np.broadcast_to(p[k], (len(at), HASHES)), q[at], percent)]
-                found += [(min(xd[k], d), max(xd[k], d)) for d in yd[at]]
+        if len(p) and len(q):
+            x = tuple(p[c].to_numpy() for c in ("doc", "n", "comp")) + (_short_sigs(p["short"]),)
+            y = tuple(q[f"{c}_y"].to_numpy() for c in ("doc", "n", "comp")) + (_short_sigs(q["short_y"]),)
+            xs, ys = ([np.frombuffer(b, np.uint64) for b in c] for c in (p["shingles"], q["shingles_y"]))
+            root: dict[int, int] = {}
+
+            def find(c: int) -> int:
+                while root.get(c, c) != c:
+                    c = root[c]
+                return c
+
+            for k in range(len(p)):
+                for d in _likely(x, k, y, percent):
+                    a, b = find(int(x[2][k])), find(int(y[2][d]))
+                    if a != b and linked(xs[k], ys[d], percent):
+                        root[max(a, b)] = min(a, b)
+                        found.append((min(x[0][k], y[0][d]), max(x[0][k], y[0][d])))
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    return left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket_y", "i_y", "j_y")).applyInPandas(meet, "a long, b long")
+    return left.groupBy("group", "i", "j").cogroup(right.groupBy("group_y", "i_y", "j_y")).applyInPandas(meet, "a long, b long")
 
 
 def find_links(found: DataFrame, docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
-    """(links between the smallest documents of different sets, those documents by set key)."""
+    """(links between the smallest documents of different sets, those documents by set key).
+
+    The links hold every pair at the threshold up to what their components
+    already say: pairs inside a component need no link of their own.
+    """
     groups = materialize(found.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc")), "sets")
     nodes = found.join(groups, "key").filter(F.col("doc_id") == F.col("doc")).dropDuplicates(["doc"]).select("doc", F.col("n_shingles").alias("n"), "sig", "bands")
     in_bands = nodes.select("doc", "n", F.explode("bands").alias("bucket"))
@@ -188,26 +268,46 @@ def find_links(found: DataFrame, docs: DataFrame, percent: int = PERCENT, shingl
     involved = members.select("doc").distinct()
     sigs = materialize(nodes.select("doc", "sig").join(involved, "doc", "left_semi"), "sigs")
 
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in _sigs(b.column(1).to_pylist()).astype(np.uint8)] if b.num_rows else [], pa.binary())], ["doc", "short"])
+
+    short = sigs.mapInArrow(shorten, "doc long, short binary")
+
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, hasher, shingle).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["doc", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, shingle).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["doc", "shingles"])
 
     texts = docs.select(F.col("doc_id").alias("doc"), "text").join(involved, "doc", "left_semi")
     sets = materialize(texts.mapInArrow(to_sets, "doc long, shingles binary").dropDuplicates(["doc"]), "shingles")
 
+    # Every member against its bucket's smallest.
     stars = members.filter("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
     first = materialize(_confirmed(_pruned(stars, sigs, percent), sets, percent), "links")
-    linked = first.select(F.col("a").alias("pivot"), F.col("b").alias("doc"))
-    stray = materialize(members.filter("doc <> pivot").join(linked, ["pivot", "doc"], "left_anti"), "stray")
-    others = members.filter("doc <> pivot AND size > 2")
-    near = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    small = stray.filter((F.col("size") > 2) & (F.col("size") <= large)).alias("x").join(others.filter(F.col("size") <= large).alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.doc") != F.col("y.doc")) & near)
-    small = small.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
-    big = _large_pairs(others.filter(F.col("size") > large).select("bucket", "size", "doc", "n"), stray.filter(F.col("size") > large).select("bucket", "size", "doc", "n"), sigs, percent).distinct()
-    rest = _pruned(small, sigs, percent).union(big).distinct()
-    second = _confirmed(rest, sets, percent)
-    return materialize(first.union(second), "all_links"), groups
+
+    # Members of small buckets not linked to it, against the likeliest of the others.
+    ties = first.select(F.col("a").alias("pivot"), F.col("b").alias("doc"), F.col("a").alias("to"))
+    others = members.filter(f"doc <> pivot AND size > 2 AND size <= {int(large)}").join(ties, ["pivot", "doc"], "left").select("bucket", "doc", "n", F.coalesce("to", "doc").alias("comp"), F.col("to").isNull().alias("minor"))
+    strays = others.filter("minor").select("bucket").distinct()
+    second = materialize(_confirmed(_small_pairs(others.join(strays, "bucket", "left_semi"), short, percent, True), sets, percent), "links")
+
+    # Whatever may still join two components: in small buckets,
+    joined = components(first.union(second)).withColumnRenamed("node", "doc")
+    now = materialize(members.join(joined, "doc", "left").withColumn("comp", F.coalesce("component", "doc")).select("bucket", "pivot", "size", "doc", "n", "comp"), "now")
+    third = _confirmed(_small_pairs(_several(now.filter(f"size > 2 AND size <= {int(large)}").select("bucket", "doc", "n", "comp"), "bucket"), short, percent, False), sets, percent)
+
+    # and in the groups that large buckets form together, each document once.
+    wide = materialize(now.filter(f"size > {int(large)}"), "wide")
+    together = components(wide.select(F.col("pivot").alias("a"), F.col("doc").alias("b"))).select(F.col("node").alias("doc"), F.col("component").alias("group"))
+    rows = wide.select("doc", "n", "comp").distinct().join(together, "doc").select("group", "doc", "n", "comp")
+    fourth = _block_links(materialize(_several(rows, "group"), "groups"), short, sets, percent)
+    return materialize(first.union(second).union(third).union(fourth), "all_links"), groups
+
+
+def _several(rows: DataFrame, key: str) -> DataFrame:
+    """rows of keys that hold several components, with minor marking those outside the largest."""
+    parts = rows.groupBy(key, "comp").agg(F.count("doc").alias("c")).groupBy(key).agg(F.count("comp").alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("major"))
+    return rows.join(parts.filter("comps > 1").select(key, "major"), key).withColumn("minor", F.col("comp") != F.col("major")).drop("major")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, large: int = LARGE) -> DataFrame:

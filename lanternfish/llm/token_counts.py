@@ -65,7 +65,7 @@ def byte_letters() -> list[str]:
 class Transducer:
     """Token counts of pre-tokens, compiled from a vocabulary as states are reached."""
 
-    STATES = 300_000
+    STATES = 80_000
 
     def __init__(self, tokens: set[str], merger: Merger):
         self.tokens, self.merger = tokens, merger
@@ -117,7 +117,7 @@ class TokenCounter:
     """Counts tokens as the tokenizers library does for a byte-level vocabulary file."""
 
     #: Pieces of text, and pre-tokens, whose counts are remembered.
-    LIMIT = 1_000_000
+    LIMIT = 300_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
