@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import n_words, table
 
-#: (end of the phase in training time, weights that repeat over the sources in order)
-PHASES = ((1.0, (5.0, 2.0, 1.0)),)
+#: (end of the phase in training time, weights that repeat over the sources in order).
+#: Early training leans on the heaviest sources, late training on the lightest; integrated, the weights are 5, 2 and 1.
+PHASES = ((0.5, (7.0, 2.0, 0.5)), (1.0, (3.0, 2.0, 1.5)))
 BUDGET = 1.5
 MAX_EPOCHS = 2
 #: Hex digits of the order key that make a bucket: 4096 buckets a source.
@@ -38,8 +39,6 @@ def _weight(rank, phases):
     total, begin = None, 0.0
     for end, cycle in phases:
         w = F.element_at(F.array(*[F.lit(float(x)) for x in cycle]), (rank % len(cycle) + 1).cast("int"))
-        if len(phases) == 1:
-            return w
         part = w * F.lit(end - begin)
         total, begin = (part if total is None else total + part), end
     return total
