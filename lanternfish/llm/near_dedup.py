@@ -49,6 +49,8 @@ BATCH = 32
 MISS = 1e-7
 #: Buckets over this size meet in blocks of about so many documents.
 LARGE, BLOCK = 64, 512
+#: Bits of the map that keeps most texts without candidates from the shuffle: 2^20 words, about 32 MB, at most.
+FILTER_BITS = 1 << 26
 
 _RNG = np.random.default_rng(20240501)
 _A = (_RNG.integers(1, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -106,16 +108,12 @@ def survive(a: np.ndarray, b: np.ndarray, percent: int = PERCENT, miss: float =
 
 
 def _sigs(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint32).reshape(-1, HASHES)
-
-
-def _short_sigs(column) -> np.ndarray:
     """Signatures of one byte a hash: chance adds matches and never takes any, so pruning by them is as safe."""
     return np.frombuffer(b"".join(column), np.uint8).reshape(-1, HASHES)
 
 
 def features(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, key, sig, bands): key is equal where sets are equal."""
+    """(doc_id, n_shingles, key, sig, bands): key is equal where sets are equal, sig has the low byte of each minimum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,7 +124,7 @@ def features(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 with np.errstate(over="ignore"):
                     keys.append(b"".join(int(x).to_bytes(8, "big") for x in (mix64(s).sum(dtype=np.uint64), mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))) + len(s).to_bytes(4, "big"))
                 sig = signature(s) if len(s) else None
-                sigs.append(sig.tobytes() if len(s) else None)
+                sigs.append(sig.astype(np.uint8).tobytes() if len(s) else None)
                 bands.append(band_keys(sig) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "key", "sig", "bands"])
 
@@ -170,11 +168,24 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _likely(x: tuple, k: int, y: tuple, percent: int) -> np.ndarray:
-    """Places of y = (docs, sizes, components, short signatures) that may be linked to the k-th of x, in other components."""
+    """Places of y = (docs, sizes, components, signatures) that may be linked to the k-th of x, in other components."""
     at = np.flatnonzero((y[2] != x[2][k]) & (100 * np.minimum(x[1][k], y[1]) >= percent * np.maximum(x[1][k], y[1])))
     return at[survive(np.broadcast_to(x[3][k], (len(at), HASHES)), y[3][at], percent)] if len(at) else at
 
 
+def _may_be_in(rows: DataFrame, docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """rows without most of those whose doc is not in docs, before any shuffle.
+
+    docs sets bits of a map that has bits / 64 words at most, whatever its size,
+    so it can be broadcast. The fuller the map, the more rows pass in vain; a
+    join must follow.
+    """
+    place = F.pmod(F.xxhash64("doc"), F.lit(bits))
+    word, bit = F.shiftright(place, 6), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc), {int(bits)}L) & 63 as int))")
+    words = docs.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    return rows.join(F.broadcast(words), (word == F.col("_word")) & (bit.bitwiseAND(F.col("_bits")) != 0), "left_semi")
+
+
 def _rows(b: pa.RecordBatch, *names: str):
     return zip(*[b.column(n).to_pylist() for n in names], strict=True)
 
@@ -183,9 +194,9 @@ def _pair_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _small_pairs(rows: DataFrame, short: DataFrame, percent: int, best: bool) -> DataFrame:
+def _small_pairs(rows: DataFrame, sigs: DataFrame, percent: int, best: bool) -> DataFrame:
     """Candidate pairs (a, b) of buckets that fit a task: rows (bucket, doc, n, comp, minor); minor rows meet all rows of other components."""
-    full = rows.join(short, "doc").select("bucket", "doc", "n", "comp", "minor", "short")
+    full = rows.join(sigs, "doc").select("bucket", "doc", "n", "comp", "minor", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -194,7 +205,7 @@ def _small_pairs(rows: DataFrame, short: DataFrame, percent: int, best: bool) ->
             minor = [k for k, r in enumerate(held) if r[4]]
             if len(held) < 2 or not minor:
                 return []
-            y = tuple(np.array([r[k] for r in held], dtype=np.int64) for k in (1, 2, 3)) + (_short_sigs([r[5] for r in held]),)
+            y = tuple(np.array([r[k] for r in held], dtype=np.int64) for k in (1, 2, 3)) + (_sigs([r[5] for r in held]),)
             found = []
             for k in minor:
                 at = _likely(y, k, y, percent)
@@ -205,7 +216,7 @@ def _small_pairs(rows: DataFrame, short: DataFrame, percent: int, best: bool) ->
 
         for b in batches:
             found = []
-            for r in _rows(b, "bucket", "doc", "n", "comp", "minor", "short"):
+            for r in _rows(b, "bucket", "doc", "n", "comp", "minor", "sig"):
                 if held and held[0][0] != r[0]:
                     found += close()
                     held.clear()
@@ -216,7 +227,7 @@ def _small_pairs(rows: DataFrame, short: DataFrame, percent: int, best: bool) ->
     return full.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long").distinct()
 
 
-def _block_links(rows: DataFrame, short: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _block_links(rows: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) inside groups of any size: rows (group, doc, n, comp, minor).
 
     A group meets in blocks of documents: minor ones with all of other
@@ -224,17 +235,17 @@ def _block_links(rows: DataFrame, short: DataFrame, sets: DataFrame, percent: in
     of the links that join the same two components one is enough.
     """
     sizes = rows.groupBy("group").agg(F.ceil(F.count("doc") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    full = rows.join(sizes, "group").join(short, "doc").join(sets, "doc")
+    full = rows.join(sizes, "group").join(sigs, "doc").join(sets, "doc")
     place, every = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
-    names = ("doc", "n", "comp", "short", "shingles")
+    names = ("doc", "n", "comp", "sig", "shingles")
     left = full.filter("minor").withColumn("i", place).withColumn("j", F.explode(every)).select("group", "i", "j", *names)
     right = full.withColumn("j", place).withColumn("i", F.explode(every)).select(*[F.col(c).alias(f"{c}_y") for c in ("group", "i", "j", *names)])
 
     def meet(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(p) and len(q):
-            x = tuple(p[c].to_numpy() for c in ("doc", "n", "comp")) + (_short_sigs(p["short"]),)
-            y = tuple(q[f"{c}_y"].to_numpy() for c in ("doc", "n", "comp")) + (_short_sigs(q["short_y"]),)
+            x = tuple(p[c].to_numpy() for c in ("doc", "n", "comp")) + (_sigs(p["sig"]),)
+            y = tuple(q[f"{c}_y"].to_numpy() for c in ("doc", "n", "comp")) + (_sigs(q["sig_y"]),)
             xs, ys = ([np.frombuffer(b, np.uint64) for b in c] for c in (p["shingles"], q["shingles_y"]))
             root: dict[int, int] = {}
 
@@ -268,17 +279,11 @@ def find_links(found: DataFrame, docs: DataFrame, percent: int = PERCENT, shingl
     involved = members.select("doc").distinct()
     sigs = materialize(nodes.select("doc", "sig").join(involved, "doc", "left_semi"), "sigs")
 
-    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in _sigs(b.column(1).to_pylist()).astype(np.uint8)] if b.num_rows else [], pa.binary())], ["doc", "short"])
-
-    short = sigs.mapInArrow(shorten, "doc long, short binary")
-
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, shingle).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["doc", "shingles"])
 
-    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(involved, "doc", "left_semi")
+    texts = _may_be_in(docs.select(F.col("doc_id").alias("doc"), "text"), involved).join(involved, "doc", "left_semi")
     sets = materialize(texts.mapInArrow(to_sets, "doc long, shingles binary").dropDuplicates(["doc"]), "shingles")
 
     # Every member against its bucket's smallest.
@@ -289,18 +294,18 @@ def find_links(found: DataFrame, docs: DataFrame, percent: int = PERCENT, shingl
     ties = first.select(F.col("a").alias("pivot"), F.col("b").alias("doc"), F.col("a").alias("to"))
     others = members.filter(f"doc <> pivot AND size > 2 AND size <= {int(large)}").join(ties, ["pivot", "doc"], "left").select("bucket", "doc", "n", F.coalesce("to", "doc").alias("comp"), F.col("to").isNull().alias("minor"))
     strays = others.filter("minor").select("bucket").distinct()
-    second = materialize(_confirmed(_small_pairs(others.join(strays, "bucket", "left_semi"), short, percent, True), sets, percent), "links")
+    second = materialize(_confirmed(_small_pairs(others.join(strays, "bucket", "left_semi"), sigs, percent, True), sets, percent), "links")
 
     # Whatever may still join two components: in small buckets,
     joined = components(first.union(second)).withColumnRenamed("node", "doc")
     now = materialize(members.join(joined, "doc", "left").withColumn("comp", F.coalesce("component", "doc")).select("bucket", "pivot", "size", "doc", "n", "comp"), "now")
-    third = _confirmed(_small_pairs(_several(now.filter(f"size > 2 AND size <= {int(large)}").select("bucket", "doc", "n", "comp"), "bucket"), short, percent, False), sets, percent)
+    third = _confirmed(_small_pairs(_several(now.filter(f"size > 2 AND size <= {int(large)}").select("bucket", "doc", "n", "comp"), "bucket"), sigs, percent, False), sets, percent)
 
     # and in the groups that large buckets form together, each document once.
     wide = materialize(now.filter(f"size > {int(large)}"), "wide")
     together = components(wide.select(F.col("pivot").alias("a"), F.col("doc").alias("b"))).select(F.col("node").alias("doc"), F.col("component").alias("group"))
     rows = wide.select("doc", "n", "comp").distinct().join(together, "doc").select("group", "doc", "n", "comp")
-    fourth = _block_links(materialize(_several(rows, "group"), "groups"), short, sets, percent)
+    fourth = _block_links(materialize(_several(rows, "group"), "groups"), sigs, sets, percent)
     return materialize(first.union(second).union(third).union(fourth), "all_links"), groups
 
 
