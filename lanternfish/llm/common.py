@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: A word: a run without ASCII white space. The same text serves Java, RE2 and Python.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -53,6 +56,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_place(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ...: names that hold dots or clash with an operator's own do no harm."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def map_by_place(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """mapInArrow in which columns go by place alone; the result has the names of ``schema``."""
+    names = [f"c{i}" for i in range(len(schema))]
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(batches):
+            yield pa.RecordBatch.from_arrays(b.columns, names)
+
+    return by_place(df).mapInArrow(placed, StructType([StructField(n, f.dataType) for n, f in zip(names, schema, strict=True)])).toDF(*schema.names)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

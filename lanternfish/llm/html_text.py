@@ -145,11 +145,12 @@ def extract(html: str | None, learned: dict[str, float]) -> str:
     best = (0.0, 0, -1)
     total, begin, i = 0.0, 0, -1
     open_block: list | None = None
-    for i, (what, container, _, never, text) in enumerate(tokens(html)):
+    for i, (what, container, labelled, never, text) in enumerate(tokens(html)):
         if what == "text":
             n = len(text.split())
             default = DEFAULT_JUNK if never else DEFAULT_WORD
-            score = n * (min(default, 0.0) + min(learned.get("w:" + container, 0.0), 0.0) if never else learned.get("w:" + container, default))
+            # A form or an advert inside an article is left out, but doesn't end it.
+            score = 0.0 if never and labelled else n * (min(default, 0.0) + min(learned.get("w:" + container, 0.0), 0.0) if never else learned.get("w:" + container, default))
             if not never:
                 if open_block is None:
                     open_block = [i, i, []]

@@ -115,14 +115,20 @@ class Model:
         norm = np.linalg.norm(v, axis=1, keepdims=True)
         return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
 
+    def vector(self, at: np.ndarray, frequency: np.ndarray) -> np.ndarray:
+        """Latent vector of one document from the columns that it has."""
+        v = (np.sqrt(frequency) * self.rarity[at]) @ self.axes[at]
+        norm = np.linalg.norm(v)
+        return v / norm if norm > 0 else v
+
     def scores(self, rows: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> np.ndarray:
         out = np.full(len(rows), self.prior)
         if not len(self.labels):
             return out
         for s in range(0, len(rows), BLOCK):
             some = rows[s : s + BLOCK]
-            v = self.project(dense(some))
-            # One matrix product per document and block of fixed shape: equal texts get equal scores.
+            # One product per document, whose shape follows from its text alone: equal texts get equal scores.
+            v = [self.vector(*row) for row in some]
             cosines = np.stack([self.vectors @ x for x in v]) if len(v) else np.empty((0, len(self.labels)), np.float32)
             n = min(k, cosines.shape[1])
             near = np.argpartition(-cosines, n - 1, axis=1)[:, :n]

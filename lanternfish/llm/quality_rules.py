@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import covered, gram_ids, grams, table, words
+from .common import covered, gram_ids, grams, map_by_place, table, words
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -127,7 +127,7 @@ def keep_clean(docs: DataFrame, bands=BANDS, chunk_bytes: int = CHUNK_BYTES, max
         for b in batches:
             yield b.filter(pa.array([r[6] for r in _judge(b.column(at).to_pylist(), bands, chunk_bytes, max_bad)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_by_place(docs, run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

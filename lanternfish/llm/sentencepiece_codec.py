@@ -32,9 +32,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .bpe import Automaton, Merger
-from .common import table
+from .common import by_place, map_by_place, materialize, table
 from .token_counts import tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
@@ -386,10 +387,11 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> Data
     at the cuts for each document, then the ids of each chunk.
     """
     path = path or tokenizer_path(MODEL)
-    names = [c for c in docs.columns if c not in ("token_ids", "n_tokens", "decoded")]
-    docs = docs.select(*[f"`{c}`" for c in names])
-    out_fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], "token_ids array<int>", "n_tokens long", "decoded string"])
-    at = names.index("text")
+    own = [c for c in docs.columns if c not in ("token_ids", "n_tokens", "decoded")]
+    docs = by_place(docs.select(*[f"`{c}`" for c in own]))
+    names, at = docs.columns, own.index("text")
+    text = F.col(names[at])
+    out_fields = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in docs.schema], "token_ids array<int>", "n_tokens long", "decoded string"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -399,8 +401,8 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> Data
                 ids = [c.encode(t) for t in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, _id_lists(ids), pa.array([len(i) for i in ids], pa.int64()), pa.array([c.decode(i) for i in ids], pa.string())], [*names, "token_ids", "n_tokens", "decoded"])
 
-    small = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= chunk).mapInArrow(whole, out_fields)
-    giant = docs.filter(F.length("text") > chunk).withColumn("_uid", F.monotonically_increasing_id())
+    small = docs.filter(F.coalesce(F.length(text), F.lit(0)) <= chunk).mapInArrow(whole, out_fields)
+    giant = materialize(docs.filter(F.length(text) > chunk).withColumn("_uid", F.monotonically_increasing_id()), "giants")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -445,13 +447,13 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> Data
             ids = [np.array(i, dtype=np.int32) for i in b.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], _id_lists(ids), pa.array([len(i) for i in ids], pa.int64()), pa.array([c.decode(i) for i in ids], pa.string())], [*names, "token_ids", "n_tokens", "decoded"])
 
-    parts = giant.select("_uid", "text").mapInArrow(cut, "_uid long, part int, near string, begin int, end int").repartition("_uid", "part")
+    parts = giant.select("_uid", text).mapInArrow(cut, "_uid long, part int, near string, begin int, end int").repartition("_uid", "part")
     scored = parts.mapInArrow(matrices, "_uid long, part int, matrix array<struct<s0:int,s1:int,t0:int,t1:int,v:double>>")
     states = scored.groupBy("_uid").agg(F.collect_list(F.struct("part", "matrix")).alias("parts")).mapInArrow(chosen, "_uid long, part int, s0 int, s1 int, t0 int, t1 int")
     pieces = parts.join(states, ["_uid", "part"]).select("_uid", "part", "near", "begin", "end", "s0", "s1", "t0", "t1").mapInArrow(traced, "_uid long, part int, ids array<int>")
     ids = pieces.groupBy("_uid").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "ids"))), lambda x: x["ids"])).alias("_ids"))
-    large = giant.join(ids, "_uid").select(*[f"`{c}`" for c in names], "_ids").mapInArrow(finished, out_fields)
-    return small.unionByName(large)
+    large = giant.join(ids, "_uid").select(*names, "_ids").mapInArrow(finished, out_fields)
+    return small.unionByName(large).toDF(*own, "token_ids", "n_tokens", "decoded")
 
 
 def decode(encoded: DataFrame, path: str | None = None, column: str = "token_ids") -> DataFrame:
@@ -466,7 +468,7 @@ def decode(encoded: DataFrame, path: str | None = None, column: str = "token_ids
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.decode(i or []) for i in b.column(at).to_pylist()], pa.string())], [*names, "decoded"])
 
-    return slim.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema], "decoded string"]))
+    return map_by_place(slim, run, StructType([*slim.schema, StructField("decoded", StringType())]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, grams, materialize, mix64, table, word_hashes, words
+from .common import WORD, by_place, grams, map_by_place, materialize, mix64, table, word_hashes, words
 
 WINDOW = 13
 ANCHOR = 7
@@ -218,18 +218,18 @@ def removed(block: list[tuple[int, str | None, list]], window: int = WINDOW) ->
     return out
 
 
-def _located(docs: DataFrame, found: DataFrame, names: list[str]) -> DataFrame:
-    """docs (doc_id, text, ...) with the column passages of each row."""
+def _located(docs: DataFrame, found: DataFrame, id_at: int, text_at: int) -> DataFrame:
+    """docs, with columns named by place, and the column passages of each row."""
+    names = docs.columns
     lists = found.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "size", "first")).alias("passages"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index("text")
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_text_mark(t or "") for t in b.column(at).to_pylist()], pa.int32())], [*names, "_mark"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_text_mark(t or "") for t in b.column(text_at).to_pylist()], pa.int32())], [*names, "_mark"])
 
     fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], "_mark int"])
     rows = docs.mapInArrow(mark, fields)
-    return rows.join(lists, (rows["doc_id"] == lists["doc"]) & (rows["_mark"] == lists["mark"]), "left").select(*[rows[f"`{n}`"] for n in names], "passages")
+    return rows.join(lists, (rows[names[id_at]] == lists["doc"]) & (rows["_mark"] == lists["mark"]), "left").select(*[rows[n] for n in names], "passages")
 
 
 def _blocks(b: pa.RecordBatch, id_at: int, text_at: int, chars: int):
@@ -260,7 +260,7 @@ def digest(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, chars: i
                 rows = [(len(ws), 0 if gone is None else int(gone.sum()), hashlib.sha256(_kept(ws, gone).encode("utf-8", "surrogatepass")).hexdigest()) for ws, gone in removed(block, window)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))]], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return _located(slim, passages(slim, window, anchor), ["doc_id", "text"]).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _located(by_place(slim), passages(slim, window, anchor), 0, 1).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut(text: str, gone: np.ndarray) -> str:
@@ -294,7 +294,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                 columns[text_at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return _located(docs, passages(docs, window, anchor), names).mapInArrow(run, docs.schema)
+    return map_by_place(_located(by_place(docs), passages(docs, window, anchor), id_at, text_at), run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
