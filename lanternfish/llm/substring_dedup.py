@@ -299,3 +299,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
+
+
+_LEADS = ", ".join(f"lead(word, {i}) OVER o" for i in range(1, WINDOW))
+
+ORACLE_SQL = rf"""
+WITH lists AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS k, len(ws) AS n FROM lists),
+windows AS (SELECT doc_id, k, n, concat_ws(' ', word, {_LEADS}) AS w FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+starts AS (SELECT doc_id, k, w FROM windows WHERE k <= n - {WINDOW - 1}),
+firsts AS (SELECT w, min(doc_id) AS f FROM starts GROUP BY w),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(k, k + {WINDOW - 1})) AS k FROM starts JOIN firsts USING (w) WHERE f < doc_id),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS t, count(*) AS m FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(m, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM lists LEFT JOIN kept USING (doc_id)
+"""
