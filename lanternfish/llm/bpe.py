@@ -20,11 +20,12 @@ class Merger:
     """
 
     #: Remembered answers; beyond it they are forgotten and worked out anew.
-    LIMIT = 150_000
+    LIMIT = 400_000
 
     def __init__(self, rank: Callable[[str, str], float | None]):
         self.rank = rank
-        self._valid: dict[tuple[str | None, str], bool] = {}
+        #: Answers of ``valid`` so far.
+        self.known: dict[tuple[str | None, str], bool] = {}
         self._split: dict[str, tuple[str, str, float] | tuple[()] | None] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -69,11 +70,11 @@ class Merger:
     def valid(self, left: str | None, token: str) -> bool:
         """Whether token may stand after left (None: at the beginning)."""
         try:
-            return self._valid[left, token]
+            return self.known[left, token]
         except KeyError:
-            if len(self._valid) > self.LIMIT:
-                self._valid.clear()
-            out = self._valid[left, token] = self.split(token) is not None and (left is None or self._apart(left, token))
+            if len(self.known) > self.LIMIT:
+                self.known.clear()
+            out = self.known[left, token] = self.split(token) is not None and (left is None or self._apart(left, token))
             return out
 
     def _apart(self, a: str, b: str) -> bool:

@@ -65,7 +65,7 @@ def byte_letters() -> list[str]:
 class Transducer:
     """Token counts of pre-tokens, compiled from a vocabulary as states are reached."""
 
-    STATES = 80_000
+    STATES = 160_000
 
     def __init__(self, tokens: set[str], merger: Merger):
         self.tokens, self.merger = tokens, merger
@@ -86,10 +86,14 @@ class Transducer:
     def _compile(self, state: dict, letter: str) -> tuple[dict, int]:
         rest, last, counts = state[None]
         text, valid, tokens = rest + letter, self.merger.valid, self.tokens
+        known = self.merger.known
         for j in range(len(text)):
             token = text[j:]
-            if (token in tokens or len(token) == 1) and valid(last[j], token):
-                break
+            if token in tokens or len(token) == 1:
+                if (ok := known.get((last[j], token))) is None:
+                    ok = valid(last[j], token)
+                if ok:
+                    break
         else:
             raise ValueError(f"no token ends {text!r}")
         k, opened = 0, self.open
@@ -127,7 +131,7 @@ class TokenCounter:
             raise ValueError("a byte-level vocabulary without a normalizer is needed")
         ranks = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
         self.machine = Transducer(set(model["vocab"]), Merger(lambda a, b: ranks.get((a, b))))
-        self.letters = byte_letters()
+        self.letters = dict(enumerate(byte_letters()))
         special = [t["content"] for t in spec["added_tokens"]]
         if any(regex.search(f"[{_WS}]", t) for t in special):
             raise ValueError("special tokens with white space are not supported")
@@ -141,7 +145,7 @@ class TokenCounter:
             if (n := known.get(m)) is None:
                 if len(known) > self.LIMIT:
                     known.clear()
-                n = self.machine.count("".join([self.letters[b] for b in m.encode("utf-8", "surrogatepass")]))
+                n = self.machine.count(m.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))
                 if len(m) <= 64:
                     known[m] = n
             total += n
@@ -152,8 +156,11 @@ class TokenCounter:
         if (n := self.known.get(text)) is None:
             if len(self.known) > self.LIMIT:
                 self.known.clear()
-            parts = self.special.split(text) if self.special else [text]
-            n = sum(map(self._pretokens, parts)) + len(parts) - 1
+            if self.special is not None and self.special.search(text):
+                parts = self.special.split(text)
+                n = sum(map(self._pretokens, parts)) + len(parts) - 1
+            else:
+                n = self._pretokens(text)
             if len(text) <= 64:
                 self.known[text] = n
         return n
