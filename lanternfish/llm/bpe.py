@@ -107,7 +107,7 @@ class Automaton:
     bound.
     """
 
-    STATES = 40_000
+    STATES = 150_000
 
     def __init__(self, tokens, merger: Merger):
         self.tokens, self.merger = tokens, merger
