@@ -12,7 +12,6 @@ QUERIES = {
     "op5_url_filter": url_filter.query,
     "op6_sentencepiece": sentencepiece_codec.query,
     "op7_html_text": html_text.query,
-    "op3_near_dedup": near_dedup.ORACLE_SQL,
     "op8_topk_search": topk_search.query,
     "op9_substring_dedup": substring_dedup.query,
     "op10_quality_rules": quality_rules.query,
