@@ -92,22 +92,6 @@ def _placed(keyed: DataFrame, phases, budget, max_epochs) -> DataFrame:
     return both.withColumn("words_before", F.col("bucket_from") + F.col("inside_from")).drop("source_o", "bucket_o", "bucket_from", "inside_from")
 
 
-def _words_taken(max_epochs):
-    """Words of the document inside the source's repeated stream up to its target."""
-    whole = F.round("target").cast("long")
-    total = F.lit(0).cast("long")
-    for epoch in range(max_epochs):
-        start = F.col("words_before") + F.lit(epoch) * F.col("source_size")
-        total = total + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), whole - start))
-    return total
-
-
-def mix(docs: DataFrame, phases=PHASES, budget=BUDGET, max_epochs=MAX_EPOCHS) -> DataFrame:
-    """Per document: doc_id, size, source_size, target and taken words."""
-    placed = _placed(_keyed(docs.select("doc_id", "text", "source")).drop("text"), phases, budget, max_epochs)
-    return placed.select("doc_id", "size", "source_size", "target", _words_taken(max_epochs).alias("taken"))
-
-
 def _position(demand, phases):
     """Training time at which a source's cumulative demand, as a share of its target, reaches ``demand``.
 
@@ -126,6 +110,32 @@ def _position(demand, phases):
     return F.least(out.otherwise(F.lit(1.0)), F.lit(1.0))
 
 
+def _start(epoch):
+    """Words of the source's repeated stream before this copy of the document."""
+    return F.col("words_before") + F.lit(epoch) * F.col("source_size")
+
+
+def _demand(start):
+    """start as a share of the source's target."""
+    return F.coalesce(F.try_divide(start.cast("double"), F.col("target")), F.lit(0.0))
+
+
+def mix(docs: DataFrame, phases=PHASES, budget=BUDGET, max_epochs=MAX_EPOCHS) -> DataFrame:
+    """Per document: doc_id, size, source_size, target, taken words and the positions of its copies in training.
+
+    A copy has the document's words before the source's target, so the copy at
+    the target is cut; taken sums the words of the copies. The output is sorted
+    by position over range partitions; documents without a copy come last.
+    """
+    placed = _placed(_keyed(docs.select("doc_id", "text", "source")).drop("text"), phases, budget, max_epochs)
+    whole, none = F.round("target").cast("long"), F.lit(0).cast("long")
+    copies = [F.struct(F.greatest(none, F.least(F.col("size"), whole - _start(e))).alias("words"), _position(_demand(_start(e)), phases).alias("position")) for e in range(max_epochs)]
+    emitted = placed.withColumn("copies", F.filter(F.array(*copies), lambda c: c["words"] > 0))
+    taken = F.aggregate("copies", none, lambda total, c: total + c["words"])
+    out = emitted.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.col("copies.position").alias("positions"))
+    return out.orderBy(F.size("positions") == 0, "positions", "doc_id")
+
+
 def training_order(docs: DataFrame, phases=PHASES, budget=BUDGET, max_epochs=MAX_EPOCHS) -> DataFrame:
     """Every copy that training reads, in order: the columns of docs plus epoch and position.
 
@@ -140,13 +150,13 @@ def training_order(docs: DataFrame, phases=PHASES, budget=BUDGET, max_epochs=MAX
     start = F.col("words_before") + F.col("epoch") * F.col("source_size")
     copies = placed.withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(max_epochs)])))
     copies = copies.withColumn("middle", start + F.col("size") / F.lit(2.0)).filter((F.col("middle") < F.col("target")) | ((F.col("size") == 0) & (F.col("epoch") == 0)))
-    demand = F.coalesce(F.try_divide(start.cast("double"), F.col("target")), F.lit(0.0))
-    placed_copies = copies.withColumn("position", _position(demand, phases))
+    placed_copies = copies.withColumn("position", _position(_demand(start), phases))
     return placed_copies.orderBy("position", "doc_id", "epoch").select("doc.*", F.col("epoch").alias("mix_epoch"), F.col("position").alias("mix_position"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    """Documents in the order of their first copies; the SQL has no column for positions."""
+    return mix(table(spark, sf_dir, "documents")).drop("positions")
 
 
 ORACLE_SQL = r"""

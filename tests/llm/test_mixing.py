@@ -70,6 +70,33 @@ def test_hot_source_and_caps(spark):
         assert rs[0]["target"] <= 2 * rs[0]["source_size"]
 
 
+def test_query_places_and_sorts_copies(spark, tmp_path):
+    """The registered query's rows stand in the order of the brute-force positions of their first copies."""
+    rows = [(i, "w " * (1 + i % 9), f"s{i % 4}") for i in range(800)]
+    documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    want, sizes, by, first = brute_mix(rows), {}, {}, {}
+    for i, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(split(t))
+        by.setdefault(s, []).append((hashlib.md5(str(i).encode()).hexdigest(), len(split(t)), i))
+    targets = brute_targets(sizes)
+    for s, docs in by.items():
+        k, start = sorted(by).index(s) % 3, 0
+        both = [w[k] * 0.5 for _, w in mixing.PHASES]
+        for epoch in range(2):
+            for _, n, i in sorted(docs):
+                asked = start / targets[s] * sum(both)
+                if start < int(targets[s] + 0.5):
+                    at = min(1.0, 0.5 * asked / both[0] if asked <= both[0] else 0.5 + 0.5 * (asked - both[0]) / both[1])
+                    first.setdefault(i, []).append(at)
+                start += n
+    mixed = {r["doc_id"]: r for r in mixing.mix(documents(spark, rows)).collect()}
+    assert all(mixed[i]["positions"] == pytest.approx(first.get(i, [])) for i, _, _ in rows)
+    out = mixing.query(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["taken"] for r in out} == {i: w[3] for i, w in want.items()}
+    order = [first.get(r["doc_id"], [2.0])[0] for r in out]
+    assert all(b - a > -1e-9 for a, b in zip(order, order[1:]))
+
+
 def test_reruns_agree(spark):
     docs = documents(spark)
     a, b = (sorted(map(repr, mixing.mix(d).collect())) for d in (docs, docs.repartition(7)))
