@@ -340,6 +340,15 @@ def multi_get_budget(spark, d):
     return within_budget(rows, ["path"], ["id"], 2000).groupBy("path").agg(F.count(F.lit(1)).alias("chunks"), F.max("total").alias("total"))
 
 
+@query("WITH f AS (SELECT o_orderpriority AS path, l_orderkey * 10 + l_linenumber AS id, CAST(l_quantity AS BIGINT) AS bytes FROM lineitem JOIN orders ON l_orderkey = o_orderkey), s AS (SELECT *, sum(bytes + CASE WHEN n = 1 THEN 10 ELSE 0 END) OVER (ORDER BY path, id ROWS UNBOUNDED PRECEDING) AS total FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY id) AS n FROM f)) SELECT path, count(*) AS chunks, CAST(max(total) AS BIGINT) AS total FROM s WHERE total <= 2000 GROUP BY path")
+def multi_get_budget_whole(spark, d):
+    from lanternfish.operators.documents import within_budget
+
+    li = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = li.select(F.col("o_orderpriority").alias("path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").cast("long").alias("bytes"), F.lit(10).cast("long").alias("header"))
+    return within_budget(rows, ["path"], ["id"], 2000).groupBy("path").agg(F.count(F.lit(1)).alias("chunks"), F.max("total").alias("total"))
+
+
 @query("SELECT source, count(*) AS chunks, count(DISTINCT lang) AS files, CAST(sum(n_chars) AS BIGINT) AS chars, max(n_chars) AS largest FROM documents GROUP BY source")
 def folder_status(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("lang").alias("files"), F.sum("n_chars").alias("chars"), F.max("n_chars").alias("largest"))
