@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from lanternfish.llm import mixing, near_dedup, quality_rules, sentencepiece_codec, substring_dedup
 from lanternfish.llm.common import materialize
 
+NEAR_PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep (operator 10); those that they reject go."""
@@ -14,8 +16,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (operator 3)."""
-    return near_dedup.keep_one(docs)
+    """One document of each group of near-duplicates (operator 3) at a similarity of 0.8 or more."""
+    return near_dedup.keep_one(docs, percent=NEAR_PERCENT)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

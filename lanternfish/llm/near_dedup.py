@@ -1,7 +1,7 @@
 """Operator 3: near-duplicates by MinHash with sequential Bayesian verification.
 
 1. Each document becomes its set of shingles, a signature of ``HASHES`` minima,
-   and ``BANDS`` bucket keys. Documents with equal sets are one node from here on.
+   and bucket keys of its bands. Documents with equal sets are one node from here on.
 2. Candidates come from buckets, in three rounds. Every member of a bucket meets
    the bucket's smallest member. Members that turn out not to be linked to it
    meet the likeliest of the others. Then, only in buckets that still hold several
@@ -16,8 +16,8 @@
 4. Survivors are confirmed on their full sets.
 5. Links are joined into components by rounds of stars (``components``).
 
-With 32 bands of 6, a pair at a similarity of 0.85 shares no bucket with a
-probability of 3e-7. A bucket that holds a third of all documents is dealt out as
+Bands are as long as a pair at the threshold may share no bucket with a probability
+of ``NO_BUCKET`` at most: 32 of 6 for 0.85, 38 of 5 for 0.80. A bucket that holds a third of all documents is dealt out as
 blocks; nothing is capped, broadcast or collected.
 
 Defined cases: null texts and texts without words have an empty set and are
@@ -47,6 +47,7 @@ BANDS, ROWS = 32, 6
 HASHES = BANDS * ROWS
 BATCH = 32
 MISS = 1e-7
+NO_BUCKET = 3e-7
 #: Buckets over this size meet in blocks of about so many documents.
 LARGE, BLOCK = 64, 512
 #: Bits of the map that keeps most texts without candidates from the shuffle: 2^20 words, about 32 MB, at most.
@@ -75,11 +76,21 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    rows = sig.reshape(BANDS, ROWS).astype(np.uint64)
-    acc = np.arange(BANDS, dtype=np.uint64)
+@cache
+def banding(percent: int = PERCENT) -> tuple[int, int]:
+    """(bands, rows) with the most rows at which a pair at the threshold misses all buckets with ``NO_BUCKET`` at most."""
+    for n in range(ROWS, 1, -1):
+        if (1 - (percent / 100) ** n) ** (HASHES // n) <= NO_BUCKET:
+            return HASHES // n, n
+    return HASHES, 1
+
+
+def band_keys(sig: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    bands, n = banding(percent)
+    rows = sig[: bands * n].reshape(bands, n).astype(np.uint64)
+    acc = np.arange(bands, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(ROWS):
+        for j in range(n):
             acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + rows[:, j])
     return acc.view(np.int64)
 
@@ -112,7 +123,7 @@ def _sigs(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(-1, HASHES)
 
 
-def features(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def features(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, key, sig, bands): key is equal where sets are equal, sig has the low byte of each minimum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +136,7 @@ def features(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     keys.append(b"".join(int(x).to_bytes(8, "big") for x in (mix64(s).sum(dtype=np.uint64), mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))) + len(s).to_bytes(4, "big"))
                 sig = signature(s) if len(s) else None
                 sigs.append(sig.astype(np.uint8).tobytes() if len(s) else None)
-                bands.append(band_keys(sig) if len(s) else None)
+                bands.append(band_keys(sig, percent) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "key", "sig", "bands"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, sig binary, bands array<long>")
@@ -317,7 +328,7 @@ def _several(rows: DataFrame, key: str) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, large: int = LARGE) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
-    found = materialize(features(docs.select("doc_id", "text"), shingle), "features")
+    found = materialize(features(docs.select("doc_id", "text"), shingle, percent), "features")
     links, groups = find_links(found, docs, percent, shingle, large)
     same = groups.join(components(links).withColumnRenamed("node", "doc"), "doc", "left").select("key", F.coalesce("component", "doc").alias("component_id"))
     out = found.select("doc_id", "n_shingles", "key").join(same, "key", "left")

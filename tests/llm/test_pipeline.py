@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from lanternfish.llm import mixing, quality_rules, registry
+from lanternfish.llm import mixing, near_dedup, quality_rules, registry
 from lanternfish.llm.sentencepiece_codec import MODEL
 from lanternfish.llm.token_counts import tokenizer_path
 
@@ -47,6 +47,33 @@ def test_near_duplicate_stage(steps):
     assert {r["doc_id"] for r in steps[2].collect()} == {c for _, c in groups.values()}
 
 
+@tables
+def test_near_duplicate_stage_at_80_percent(steps):
+    groups = brute_components([(r["doc_id"], r["text"]) for r in steps[1].collect()], percent=80)
+    assert {r["doc_id"] for r in steps[2].collect()} == {c for _, c in groups.values()}
+
+
+def test_near_duplicate_stage_links_from_80_percent(spark):
+    """Pairs between 0.80 and 0.85 lose a document in the stage, though not in op3's query."""
+    rows = []
+    for k in range(6):
+        ws = prose(300 + k, 250, 50_000).split(" ")
+        rows += [(10 * k, " ".join(ws)), (10 * k + 1, " ".join("changed" if i in (25, 75, 125, 175, 225) else w for i, w in enumerate(ws)))]
+        rows.append((10 * k + 2, " ".join("other" if i in range(20, 240, 25) else w for i, w in enumerate(ws))))
+    want = {c for _, c in brute_components(rows, percent=80).values()}
+    assert want < {c for _, c in brute_components(rows).values()}
+    docs = documents(spark, [(i, t, "s") for i, t in rows])
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == want
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_bands_find_pairs_at_the_threshold(percent):
+    bands, n = near_dedup.banding(percent)
+    assert (1 - (percent / 100) ** n) ** bands <= 3e-7
+    keys = near_dedup.band_keys(near_dedup.signature(near_dedup.shingles(prose(1, 50))), percent)
+    assert len(keys) == len(set(keys)) == bands
+
+
 @tables
 def test_substring_stage(steps):
     want = brute_removed([(r["doc_id"], r["text"]) for r in steps[2].collect()])
