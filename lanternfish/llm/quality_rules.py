@@ -4,8 +4,9 @@ Base rules count words, symbols, repeated lines and words inside repeated 8-word
 windows. The method adds zstandard: the whole text and every fixed chunk of it
 are compressed, and the ratio of compressed to plain bytes must stay inside a
 band that depends on the length. Text below the band is repetitive, text above it
-is incompressible noise. A document fails by its whole text, or when more than a
-set share of its chunks leaves the band.
+is incompressible noise. A document fails by its whole text, when more than a set
+share of its chunks leaves the band, or when any long piece of it leaves the band of
+its own length, so that no document is long enough to hide junk.
 
 Every document is judged alone, so there is no shuffle and no group; a task holds
 one Arrow batch. Defined cases: null and empty texts have no words, so
@@ -33,6 +34,8 @@ LEVEL = 3
 BANDS = ((256, 0.40, 1.10), (1024, 0.33, 0.92), (4096, 0.28, 0.82), (16384, 0.25, 0.76), (1 << 62, 0.20, 0.72))
 #: Share of the fixed chunks that may leave the band.
 MAX_BAD_CHUNKS = 0.5
+#: Bytes of the pieces, of which none may leave the band; each overlaps half of the one before, so junk of 1.5 pieces fills one.
+PIECE_BYTES = 16384
 
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 _HAS_WORD = re.compile(r"[^\x20\x09-\x0D]")
@@ -89,6 +92,16 @@ def compression_ok(n_bytes: int, ratio: float | None, bad_chunks: float, bands=B
     return lo <= ratio <= hi and bad_chunks <= max_bad
 
 
+def pieces_ok(text: str, compressor, piece_bytes: int = PIECE_BYTES, bands=BANDS) -> bool:
+    """Whether every piece of a text longer than one stays inside the band of its length."""
+    data = text.encode("utf-8", "surrogatepass")
+    if len(data) <= piece_bytes:
+        return True
+    lo, hi = band(piece_bytes, bands)
+    starts = [*range(0, len(data) - piece_bytes, piece_bytes // 2), len(data) - piece_bytes]
+    return all(lo <= len(compressor.compress(data[s : s + piece_bytes])) / piece_bytes <= hi for s in starts)
+
+
 def _judge(texts, bands, chunk_bytes, max_bad):
     import zstandard
 
@@ -98,6 +111,7 @@ def _judge(texts, bands, chunk_bytes, max_bad):
         failed = base_failed(counts[0], counts[4])
         ratio, bad = compression(text or "", compressor, chunk_bytes, bands)
         ok = compression_ok(len((text or "").encode("utf-8", "surrogatepass")), ratio, bad, bands, max_bad)
+        ok = ok and not failed and pieces_ok(text or "", compressor, bands=bands)
         yield (*counts, failed, not failed and ok, ratio, bad)
 
 

@@ -134,3 +134,17 @@ def test_votes_are_exact():
         near = np.argsort(-cosine, kind="stable")[: qk.NEIGHBOURS]
         w = np.maximum(cosine[near], 0).astype(float) ** qk.SHARPNESS
         assert got[i] == pytest.approx((w * np.array(labels)[near]).sum() / w.sum(), abs=1e-4)
+
+
+def test_long_documents_cannot_hide_junk(spark):
+    """Almost half of one letter, or a third of base85 noise, in a text that is clean otherwise."""
+    import base64
+    import random
+
+    r = random.Random(4)
+    vocabulary = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    clean = " ".join(r.choice(vocabulary) for _ in range(20_000))
+    noise = base64.b85encode(random.Random(5).randbytes(30_400)).decode()
+    texts = [clean, clean[:60_000] + " " + "x" * 49_000, clean[:60_000] + " " + noise]
+    kept = {row["doc_id"] for row in qr.score(documents(spark, [(i, t, "s") for i, t in enumerate(texts)])).filter("kept").collect()}
+    assert kept == {0}
