@@ -72,6 +72,33 @@ def map_by_place(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterat
     return by_place(df).mapInArrow(placed, StructType([StructField(n, f.dataType) for n, f in zip(names, schema, strict=True)])).toDF(*schema.names)
 
 
+_MODELS: dict = {}
+
+
+def per_worker(kind: Callable, path: str):
+    """One model a worker, made when first asked for; a worker that turns to another gives the last one up."""
+    if (kind, path) not in _MODELS:
+        _MODELS.clear()
+        _MODELS[kind, path] = kind(path)
+    return _MODELS[kind, path]
+
+
+class Memo(dict):
+    """Answers of a function by text, remembered up to ``limit``; long texts are not kept."""
+
+    def __init__(self, answer: Callable, limit: int, longest: int = 64):
+        super().__init__()
+        self.answer, self.limit, self.longest = answer, limit, longest
+
+    def __missing__(self, text: str):
+        out = self.answer(text)
+        if len(text) <= self.longest:
+            if len(self) >= self.limit:
+                self.clear()
+            self[text] = out
+        return out
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

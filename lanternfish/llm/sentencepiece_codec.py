@@ -12,7 +12,11 @@ traced back by itself.
 * BPE models: no score is added, but a piece may stand after another only if
   merging keeps the two apart (``bpe.Merger.valid``), so entries are 0 or -inf, a
   state is the piece at the cut, and exactly one path over the whole text is left.
-  It is the segmentation that merging yields.
+  It is the segmentation that merging yields. Ways into a chunk are followed side by
+  side by the automaton of ``bpe.Transducer`` until they fall together.
+
+The scan (``scan``) multiplies the matrices of neighbouring chunks group by group
+up to one a document, and hands the states at the cuts down again.
 
 Where no piece has a space mark after another character, paths never cross a
 place where a space mark follows something else; the matrix between two such
@@ -26,6 +30,7 @@ Decoding inverts encoding except for what the model's own normalization changes.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,15 +39,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .bpe import Automaton, Merger
-from .common import by_place, map_by_place, materialize, table
+from . import scan
+from .bpe import SEP, Merger, Transducer
+from .common import Memo, by_place, map_by_place, materialize, per_worker, table
+from .scan import choose
 from .token_counts import tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 CHUNK = 65_536
 SPACE = "▁"
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_LATIN, _OTHER = "A-Za-zÀ-ÖØ-öø-ɏ", r"\x00-@\[-`{-\x7f"
+#: Segments that also end between Latin letters and ASCII characters that are no letters.
+_FINER = re.compile(rf"{SPACE}*(?:[{_LATIN}]+(?=[{_OTHER}{SPACE}]|\Z)|[{_OTHER}]+(?=[{_LATIN}{SPACE}]|\Z)|[^{SPACE}]+)|{SPACE}+")
+_CROSSING = re.compile(rf"[{_LATIN}][{_OTHER}]|[{_OTHER}][{_LATIN}]")
 _SAFE = re.compile(f"(?<=[^{SPACE}]){SPACE}")
+#: What a NUL is in spelt texts, where it would be taken for a separator.
+_NUL = "\udc00"
 UNIGRAM, BPE = 1, 2
 
 
@@ -90,75 +103,39 @@ class Lattice:
         self.longest = max([1, *map(len, scores)])
         self.unknown_score = min([0.0, *scores.values()]) - 10.0 if unknown_score is None else unknown_score
         self.merger = Merger(lambda a, b: -s if (s := scores.get(a + b)) is not None else None)
-        self.automaton = Automaton(scores, self.merger) if kind == BPE else None
+        self.machine = Transducer(scores, self.merger) if kind == BPE else None
         #: Whether a space mark after another character is always a boundary.
         self.safe = all(SPACE not in p.lstrip(SPACE) for p in scores)
+        #: Segments between places that no piece crosses.
+        self.segments = _SEGMENT if any(map(_CROSSING.search, scores)) else _FINER
+        self.reach = self.longest + 1
 
     def _weight(self, piece: str) -> float | None:
-        if self.kind == BPE:
-            return 0.0 if piece in self.scores or len(piece) == 1 else None
         return self.scores.get(piece, self.unknown_score if len(piece) == 1 else None)
 
-    def _may_follow(self, last: str | None, piece: str) -> bool:
-        return self.kind != BPE or self.merger.valid(last, piece)
-
     def states(self, text: str, at: int) -> list[tuple[int, int]]:
-        """Ways in which the last piece before a cut can lie over it: characters before and after.
-
-        For a unigram model only what lies after matters, and 1 stands for what lies before.
-        """
+        """Ways in which the last piece before a cut can lie over it: 1 for what lies before, and the characters after."""
         if at == 0 or at == len(text):
-            return [(0, 0)] if at == 0 else self._ending(text, at)
-        out = []
-        for after in range(self.longest):
-            for before in range(1, self.longest - after + 1):
-                if before <= at and at + after <= len(text) and self._weight(text[at - before : at + after]) is not None:
-                    out.append((before, after))
-        return sorted({(1, b) for _, b in out}) if self.kind != BPE else out
-
-    def _ending(self, text: str, at: int) -> list[tuple[int, int]]:
-        return [(1, 0)] if self.kind != BPE else [(b, 0) for b in range(1, min(self.longest, at) + 1) if self._weight(text[at - b : at]) is not None]
+            return [(0, 0)] if at == 0 else [(1, 0)]
+        return [(1, n) for n in range(self.longest) if at + n <= len(text) and any(b <= at and self._weight(text[at - b : at + n]) is not None for b in range(1, self.longest - n + 1))]
 
     def _walk(self, text: str, begin: int, end: int, sources: dict) -> tuple[dict, dict]:
-        """Best scores into each node from each source, for pieces that start in [begin, end).
+        """Best scores into each place from each source, for pieces that start in [begin, end).
 
-        A node is (start, end) of its piece; unigram nodes forget the start.
-        sources: node -> {source: score}. Returns the nodes and the best node
-        before each (node, source).
+        sources: place -> {source: score}. Returns the places and the best place
+        before each (place, source).
         """
-        nodes: dict[tuple[int, int], dict] = {}
-        back: dict = {}
-        by_end: dict[int, list] = {}
-
-        def put(node, source, score, prior):
-            at = nodes.get(node)
-            if at is None:
-                at = nodes[node] = {}
-                by_end.setdefault(node[1], []).append(node)
-            if source not in at or score > at[source]:
-                at[source] = score
-                back[node, source] = prior
-
-        for node, scores in sources.items():
-            for source, score in scores.items():
-                put(node, source, score, None)
+        places: dict[int, dict] = {at: dict(scores) for at, scores in sources.items()}
+        back: dict = {(at, source): None for at, scores in sources.items() for source in scores}
         for i in range(begin, end):
-            for node in by_end.get(i, ()):
-                last = text[node[0] : i] if self.kind == BPE and node[0] < i else None
+            for source, score in places.get(i, {}).items():
                 for n in range(1, min(self.longest, len(text) - i) + 1):
-                    piece = text[i : i + n]
-                    if (w := self._weight(piece)) is not None and self._may_follow(last, piece):
-                        to = (i, i + n) if self.kind == BPE else (-1, i + n)
-                        span = (node, i)
-                        for source, score in nodes[node].items():
-                            put(to, source, score + w, span)
-        return nodes, back
-
-    def _node(self, at: int, state: tuple[int, int]) -> tuple[int, int]:
-        return (at - state[0], at + state[1]) if self.kind == BPE and state != (0, 0) else (-1 if self.kind != BPE else at, at + state[1])
-
-    def _enter(self, text: str, begin: int, states, context: int) -> dict:
-        return {self._node(begin, s): {s: 0.0} for s in states}
+                    if (w := self._weight(text[i : i + n])) is not None:
+                        at = places.setdefault(i + n, {})
+                        if source not in at or score + w > at[source]:
+                            at[source] = score + w
+                            back[i + n, source] = i
+        return places, back
 
     def _cuts(self, text: str, begin: int, end: int) -> tuple[int, int] | None:
         """First and last safe places strictly inside a chunk."""
@@ -172,109 +149,79 @@ class Lattice:
             last -= 1
         return first.start(), last
 
-    def matrix(self, text: str, begin: int, end: int) -> dict[tuple, float]:
-        """Best score from each state at begin to each at end; text reaches ``longest`` characters over both."""
-        enter = self._enter(text, begin, self.states(text, begin), begin)
+    def _spelt(self, text: str, *cuts: int) -> tuple[str, list[int]]:
+        """A text with separators at its safe places, and where its cuts lie in it (after a separator)."""
+        text = text.replace(SEP, _NUL)
+        if not self.safe:
+            return text, list(cuts)
+        places = [m.start() for m in _SAFE.finditer(text)]
+        return _SAFE.sub(SEP + SPACE, text), [c + bisect_right(places, c) for c in cuts]
+
+    def matrix(self, text: str, begin: int, end: int) -> scan.Matrix:
+        """Best score from each state at begin to each at end; text reaches ``reach`` characters over both."""
+        if self.kind == BPE:
+            spelt, (a, b) = self._spelt(text, begin, end)
+            return dict.fromkeys(self.machine.matrix(spelt, a, b, count=lambda part: 0), 0.0)
+        enter = {begin + s[1]: {s: 0.0} for s in self.states(text, begin)}
         if (cuts := self._cuts(text, begin, end)) is None:
-            nodes, _ = self._walk(text, begin, end, enter)
-            return self._leave(nodes, end)
+            return self._leave(self._walk(text, begin, end, enter)[0], end)
         a, b = cuts
-        nodes, _ = self._walk(text[:a], begin, a, enter)
-        into: dict = {}
-        for node, scores in nodes.items():
-            if node[1] == a:
-                for s, v in scores.items():
-                    into[s] = max(v, into.get(s, -np.inf))
-        middle = sum(self.segment(x)[1] for x in _SEGMENT.findall(text, a, b)) if self.kind != BPE else 0.0
-        nodes, _ = self._walk(text, b, end, {(b, b) if self.kind == BPE else (-1, b): {"cut": 0.0}})
-        out = {t: v for (_, t), v in self._leave(nodes, end).items()}
+        into = self._walk(text[:a], begin, a, enter)[0].get(a, {})
+        middle = sum(self.segment(x)[1] for x in _SEGMENT.findall(text, a, b))
+        out = {t: v for (_, t), v in self._leave(self._walk(text, b, end, {b: {"cut": 0.0}})[0], end).items()}
         return {(s, t): v + middle + w for s, v in into.items() for t, w in out.items()}
 
-    def _leave(self, nodes: dict, end: int) -> dict[tuple, float]:
-        out = {}
-        for node, scores in nodes.items():
-            if node[1] >= end and (self.kind != BPE or node[0] < end):
-                state = (end - node[0], node[1] - end) if self.kind == BPE else (1, node[1] - end)
-                out |= {(s, state): v for s, v in scores.items()}
-        return out
+    def _leave(self, places: dict, end: int) -> scan.Matrix:
+        return {(s, (1, at - end)): v for at, scores in places.items() if at >= end for s, v in scores.items()}
 
     def trace(self, text: str, begin: int, end: int, enter: tuple, leave: tuple) -> list[str]:
         """Pieces that start in [begin, end) on the best path between two states."""
+        if self.kind == BPE:
+            spelt, (a, b) = self._spelt(text, begin, end)
+            return [p.replace(_NUL, "\0") for p in self.machine.trace(spelt, a, b, enter, leave)]
         if (cuts := self._cuts(text, begin, end)) is None:
-            return self._path(text, begin, end, {self._node(begin, enter): {0: 0.0}}, self._node(end, leave))
+            return self._path(text, begin, end, begin + enter[1], end + leave[1])
         a, b = cuts
-        head = self._path(text[:a], begin, a, {self._node(begin, enter): {0: 0.0}}, None)
-        tail = self._path(text, b, end, {(b, b) if self.kind == BPE else (-1, b): {0: 0.0}}, self._node(end, leave))
+        head, tail = self._path(text[:a], begin, a, begin + enter[1], a), self._path(text, b, end, b, end + leave[1])
         return [*head, *[p for x in _SEGMENT.findall(text, a, b) for p in self.segment(x)[0]], *tail]
 
-    def _path(self, text: str, begin: int, end: int, sources: dict, to) -> list[str]:
-        nodes, back = self._walk(text, begin, end, sources)
-        if to is None:
-            to = max((n for n in nodes if n[1] == end), key=lambda n: nodes[n][0])
+    def _path(self, text: str, begin: int, end: int, source: int, to: int) -> list[str]:
+        back = self._walk(text, begin, end, {source: {0: 0.0}})[1]
         out = []
         while (prior := back[to, 0]) is not None:
-            node, start = prior
-            out.append(text[start : to[1]])
-            to = node
+            out.append(text[prior:to])
+            to = prior
         return out[::-1]
 
     def segment(self, text: str) -> tuple[list[str], float]:
         """Pieces and score of a text on its own."""
         if self.kind == BPE:
-            return self.automaton.encode(text), 0.0
-        nodes, back = self._walk(text, 0, len(text), {(-1, 0): {0: 0.0}})
-        to, out = (-1, len(text)), []
-        score = nodes[to][0] if text else 0.0
-        while text and (prior := back[to, 0]) is not None:
-            node, start = prior
-            out.append(text[start : to[1]])
-            to = node
-        return out[::-1], score
+            return self.machine.encode(text), 0.0
+        places, back = self._walk(text, 0, len(text), {0: {0: 0.0}})
+        to, out = len(text), []
+        while (prior := back[to, 0]) is not None:
+            out.append(text[prior:to])
+            to = prior
+        return out[::-1], places[len(text)][0]
 
     def chunked(self, text: str, size: int) -> list[str]:
         """The whole text by chunks: matrices, scan, and a trace of each chunk."""
-        cuts = [*range(0, len(text), size), len(text)]
-        spans = list(zip(cuts, cuts[1:], strict=False))
-        choice = choose([self.matrix(text, a, b) for a, b in spans])
-        return [p for (a, b), (s, t) in zip(spans, choice, strict=True) for p in self.trace(text, a, b, s, t)]
-
-
-def product(a: dict[tuple, float], b: dict[tuple, float]) -> dict[tuple, float]:
-    """Max-plus product of two matrices; associative."""
-    rows: dict = {}
-    for (s, t), v in b.items():
-        rows.setdefault(s, []).append((t, v))
-    out: dict[tuple, float] = {}
-    for (s, m), v in a.items():
-        for t, w in rows.get(m, ()):
-            if v + w > out.get((s, t), -np.inf):
-                out[s, t] = v + w
-    return out
-
-
-def choose(matrices: list[dict]) -> list[tuple]:
-    """The states in which the best path enters and leaves each chunk."""
-    prefix = [{(0, 0): 0.0}]
-    for m in matrices:
-        row = {}
-        for (s, t), v in m.items():
-            if s in prefix[-1] and prefix[-1][s] + v > row.get(t, -np.inf):
-                row[t] = prefix[-1][s] + v
-        prefix.append(row)
-    at = max(prefix[-1], key=lambda t: (prefix[-1][t], t))
-    out = []
-    for m, before in zip(matrices[::-1], prefix[-2::-1], strict=True):
-        enter = max((s for s, t in m if t == at and s in before), key=lambda s: (before[s] + m[s, at], s))
-        out.append((enter, at))
-        at = enter
-    return out[::-1]
+        chunks = list(self.chunks(text, size))
+        choice = choose([self.matrix(*c) for c in chunks])
+        return [p for c, (s, t) in zip(chunks, choice, strict=True) for p in self.trace(*c, s, t)]
+
+    def chunks(self, text: str, size: int):
+        """(text around a chunk, its begin, its end) of each chunk of a text."""
+        for begin in range(0, len(text), size):
+            end, low = min(begin + size, len(text)), max(0, begin - self.reach)
+            yield text[low : end + self.reach], begin - low, end - low
 
 
 class Codec:
     """Encodes and decodes as the sentencepiece library does for a model file."""
 
     #: Segments whose ids are remembered.
-    LIMIT = 120_000
+    LIMIT = 300_000
 
     def __init__(self, path: str):
         import sentencepiece
@@ -291,86 +238,64 @@ class Codec:
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in range(n) if m.is_byte(i)}
         self.bytes_of = {i: b for b, i in self.byte_ids.items()}
         self.unknown = m.unk_id()
-        self.known: dict[str, bytes] = {}
-        self.packed: dict[str, bytes] = {}
+        self.is_byte = np.array([i in self.bytes_of for i in range(n)])
+        self.known = Memo(self._segment, self.LIMIT)
+        self.packed = Memo(self._piece_ids, self.LIMIT)
 
     def normalize(self, text: str) -> str:
         return self.model.normalize(text)
 
     def _piece_ids(self, piece: str) -> bytes:
-        """Ids of one piece of the lattice, packed; remembered."""
+        """Ids of one piece of the lattice, packed."""
         if (i := self.ids.get(piece)) is not None:
             ids = [i]
         else:
             ids = [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
-        if len(self.packed) > self.LIMIT:
-            self.packed.clear()
-        out = self.packed[piece] = np.array(ids, dtype=np.int32).tobytes()
-        return out
-
-    def _pack(self, pieces: list[str]) -> bytes:
-        packed = self.packed
-        try:
-            return b"".join([packed[p] for p in pieces])
-        except KeyError:
-            return b"".join([packed.get(p) or self._piece_ids(p) for p in pieces])
+        return np.array(ids, dtype=np.int32).tobytes()
 
-    def to_ids(self, pieces: list[str]) -> np.ndarray:
-        """Ids of pieces; characters outside the vocabulary become bytes, or one unknown id for each run of them."""
-        ids = np.frombuffer(self._pack(pieces), dtype=np.int32)
+    def _segment(self, text: str) -> bytes:
+        return b"".join(map(self.packed.__getitem__, self.lattice.segment(text)[0]))
+
+    def _ids(self, packed: bytes) -> np.ndarray:
+        """Unpacked ids; where there are no bytes, a run of unknown characters is one id."""
+        ids = np.frombuffer(packed, dtype=np.int32)
         if self.byte_ids or not len(ids):
             return ids
         return ids[np.concatenate([[True], (ids[1:] != self.unknown) | (ids[:-1] != self.unknown)])]
 
-    def _segment(self, text: str) -> bytes:
-        ids = self.to_ids(self.lattice.segment(text)[0]).tobytes()
-        if len(text) <= 64:
-            if len(self.known) > self.LIMIT:
-                self.known.clear()
-            self.known[text] = ids
-        return ids
+    def to_ids(self, pieces: list[str]) -> np.ndarray:
+        """Ids of pieces; characters outside the vocabulary become bytes, or one unknown id for each run of them."""
+        return self._ids(b"".join(map(self.packed.__getitem__, pieces)))
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text or not (whole := self.normalize(text)):
             return np.empty(0, dtype=np.int32)
         if not self.lattice.safe:
             return self.to_ids(self.lattice.segment(whole)[0])
-        parts, known = [], self.known
-        for p in _SEGMENT.findall(whole):
-            try:
-                parts.append(known[p])
-            except KeyError:
-                parts.append(self._segment(p))
-        return np.frombuffer(b"".join(parts), dtype=np.int32)
+        return self._ids(b"".join(map(self.known.__getitem__, self.lattice.segments.findall(whole))))
 
     def decode(self, ids) -> str:
-        pieces, bytes_of = self.pieces, self.bytes_of
-        ids = ids.tolist() if isinstance(ids, np.ndarray) else list(ids)
-        if bytes_of.keys().isdisjoint(ids):
-            text = "".join([pieces[i] for i in ids])
+        ids = np.asarray(ids, dtype=np.int32)
+        if not self.is_byte[ids].any():
+            text = "".join(map(self.pieces.__getitem__, ids.tolist()))
         else:
             out, run = [], bytearray()
-            for i in [*ids, None]:
-                if i in bytes_of:
-                    run.append(bytes_of[i])
+            for i in [*ids.tolist(), None]:
+                if i in self.bytes_of:
+                    run.append(self.bytes_of[i])
                     continue
                 if run:
                     out.append(run.decode("utf-8", "replace"))
                     run = bytearray()
                 if i is not None:
-                    out.append(pieces[i])
+                    out.append(self.pieces[i])
             text = "".join(out)
         return text.removeprefix(SPACE).replace(SPACE, " ")
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
     """One codec a worker."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    return per_worker(Codec, path)
 
 
 def _id_lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -383,8 +308,8 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> Data
     """docs with token_ids array<int>, n_tokens long and decoded string (the ids decoded again).
 
     Documents of ``chunk`` characters or fewer are encoded where they are read.
-    Longer ones are dealt out by chunk: matrices first, then the choice of states
-    at the cuts for each document, then the ids of each chunk.
+    Longer ones are dealt out by chunk: matrices first, then the scan that fixes the
+    states at the cuts, then the ids of each chunk.
     """
     path = path or tokenizer_path(MODEL)
     own = [c for c in docs.columns if c not in ("token_ids", "n_tokens", "decoded")]
@@ -406,53 +331,38 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> Data
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        reach = c.lattice.longest
         for b in batches:
             for uid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                whole_text = c.normalize(text)
-                for part, begin in enumerate(range(0, len(whole_text), chunk)):
-                    end, low = min(begin + chunk, len(whole_text)), max(0, begin - reach)
-                    row = [[uid], [part], [whole_text[low : end + reach]], [begin - low], [end - low]]
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32()), strict=True)], ["_uid", "part", "near", "begin", "end"])
+                for part, (near, begin, end) in enumerate(c.lattice.chunks(c.normalize(text), chunk)):
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((uid, pa.int64()), (part, pa.int32()), (near, pa.string()), (begin, pa.int32()), (end, pa.int32()))], ["_uid", "part", "near", "begin", "end"])
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            rows = []
-            for near, begin, end in zip(*(b.column(x).to_pylist() for x in ("near", "begin", "end")), strict=True):
-                m = c.lattice.matrix(near, begin, end)
-                rows.append([{"s0": s[0], "s1": s[1], "t0": t[0], "t1": t[1], "v": v} for (s, t), v in m.items()])
-            cell = pa.list_(pa.struct([("s0", pa.int32()), ("s1", pa.int32()), ("t0", pa.int32()), ("t1", pa.int32()), ("v", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([b.column("_uid"), b.column("part"), pa.array(rows, cell)], ["_uid", "part", "matrix"])
-
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for uid, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                parts.sort(key=lambda p: p["part"])
-                states = choose([{((x["s0"], x["s1"]), (x["t0"], x["t1"])): x["v"] for x in p["matrix"]} for p in parts])
-                rows += [(uid, p["part"], *s, *t) for p, (s, t) in zip(parts, states, strict=True)]
-            types = (pa.int64(), *[pa.int32()] * 5)
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["_uid", "part", "s0", "s1", "t0", "t1"])
+            for s in range(0, b.num_rows, 16):
+                few = b.slice(s, 16)
+                found = [c.lattice.matrix(*x) for x in zip(*(few.column(x).to_pylist() for x in ("near", "begin", "end")), strict=True)]
+                yield pa.RecordBatch.from_arrays([few.column("_uid"), few.column("part"), scan.pack(found)], ["_uid", "part", "matrix"])
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            ids = [c.to_ids(c.lattice.trace(r["near"], r["begin"], r["end"], (r["s0"], r["s1"]), (r["t0"], r["t1"]))) for r in b.to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("_uid"), b.column("part"), _id_lists(ids)], ["_uid", "part", "ids"])
+            for s in range(0, b.num_rows, 16):
+                few = b.slice(s, 16)
+                ids = [c.to_ids(c.lattice.trace(r["near"], r["begin"], r["end"], (r["s0"], r["s1"]), (r["t0"], r["t1"]))) for r in few.to_pylist()]
+                yield pa.RecordBatch.from_arrays([few.column("_uid"), few.column("part"), _id_lists(ids)], ["_uid", "part", "ids"])
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            ids = [np.array(i, dtype=np.int32) for i in b.column(len(names)).to_pylist()]
+            ids = [np.array(i or [], dtype=np.int32) for i in b.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], _id_lists(ids), pa.array([len(i) for i in ids], pa.int64()), pa.array([c.decode(i) for i in ids], pa.string())], [*names, "token_ids", "n_tokens", "decoded"])
 
-    parts = giant.select("_uid", text).mapInArrow(cut, "_uid long, part int, near string, begin int, end int").repartition("_uid", "part")
-    scored = parts.mapInArrow(matrices, "_uid long, part int, matrix array<struct<s0:int,s1:int,t0:int,t1:int,v:double>>")
-    states = scored.groupBy("_uid").agg(F.collect_list(F.struct("part", "matrix")).alias("parts")).mapInArrow(chosen, "_uid long, part int, s0 int, s1 int, t0 int, t1 int")
-    pieces = parts.join(states, ["_uid", "part"]).select("_uid", "part", "near", "begin", "end", "s0", "s1", "t0", "t1").mapInArrow(traced, "_uid long, part int, ids array<int>")
+    parts = materialize(giant.select("_uid", text).mapInArrow(cut, "_uid long, part int, near string, begin int, end int").repartition("_uid", "part"), "chunks")
+    scored = materialize(parts.select("_uid", "part", "near", "begin", "end").mapInArrow(matrices, f"_uid long, part int, matrix {scan.MATRIX}"), "matrices")
+    pieces = parts.join(scan.states(scored), ["_uid", "part"]).select("_uid", "part", "near", "begin", "end", "s0", "s1", "t0", "t1").mapInArrow(traced, "_uid long, part int, ids array<int>")
     ids = pieces.groupBy("_uid").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "ids"))), lambda x: x["ids"])).alias("_ids"))
-    large = giant.join(ids, "_uid").select(*names, "_ids").mapInArrow(finished, out_fields)
+    large = giant.join(ids, "_uid", "left").select(*names, "_ids").mapInArrow(finished, out_fields)
     return small.unionByName(large).toDF(*own, "token_ids", "n_tokens", "decoded")
 
 

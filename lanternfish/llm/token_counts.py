@@ -1,23 +1,22 @@
 """Operator 4: token counts by a compiled finite-state transducer.
 
 The vocabulary is compiled into a deterministic transducer over the bytes of a
-pre-token. A state keeps the part of the pre-token that a longer token could
-still absorb, the last token at each place in it, and the counts there relative
-to the state; each transition carries by how many tokens the count changes
-(a merge can lower it). States are made when first reached and remembered up to a
-bound, since a whole table over all reachable states would be far larger than any
-corpus needs.
-
-Pre-tokens never cross from a character that isn't white space to one that is.
-So a chunk of text is a state map (head, count, tail): what stands before its
-first such place, the tokens between, and what stands after the last. Maps
-compose associatively, (h1, c1, t1) * (h2, c2, t2) = (h1, c1 + count(t1 h2) + c2, t2),
-and a document over ``CHUNK`` characters is counted as chunks on any executors
-whose maps are composed afterwards by a prefix scan.
+pre-token (``bpe.Transducer``): each transition carries by how many tokens the count
+changes. States are made when first reached and remembered up to a bound.
+
+A document over ``CHUNK`` characters is counted by chunks on any executors. The
+map of a chunk gives, for each state of the automaton in which it can be entered
+(how a token lies over the cut) and each in which it can be left, the tokens that
+begin inside. It is found by running all entries side by side until they fall
+into one state, which they do at the next boundary of pre-tokens at the latest;
+where a chunk has no boundary at all, the map still has a bounded size and no more
+than the chunk is read. Maps compose associatively, and ``scan`` composes those
+of a document group by group.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; equal rows give
 equal rows; extra columns are ignored; a special token's string inside a text
-counts as one token, the default of the tokenizers library.
+counts as one token, the default of the tokenizers library; a text of one
+endless word is counted by chunks as any other.
 """
 
 from __future__ import annotations
@@ -31,8 +30,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Merger
-from .common import table
+from . import scan
+from .bpe import SEP, Merger, Transducer
+from .common import Memo, materialize, per_worker, table
 
 MODEL = "byte_bpe_50k.json"
 LIMIT = 512
@@ -41,9 +41,10 @@ CHUNK = 65_536
 _WS = r"\t-\r\x20\x85\xa0  -     　"
 #: The vocabulary's split into pre-tokens, with white space spelt out.
 _PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-#: Pieces between places where white space follows something else.
-_PIECE = re.compile(rf"[{_WS}]*[^{_WS}]+|[{_WS}]+")
-_GAP = re.compile(rf"(?<=[^{_WS}])[{_WS}]")
+#: Letters of Latin alphabets, and ASCII marks but the apostrophe, which may begin a suffix.
+_LATIN, _MARK = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-&(-/:-@\[-`{-~"
+#: Pieces between places where a pre-token ends for certain: between words, marks and digits, and before white space.
+_PIECE = re.compile(rf"[{_WS}]*(?:[{_LATIN}]+(?=[\x00-@\[-`{{-\x7f]|\Z)|[{_MARK}]+(?=[{_LATIN}0-9\t-\r ]|\Z)|[0-9]+(?=[\x00-/:-\x7f]|\Z)|[^{_WS}]+)|[{_WS}]+")
 
 
 def tokenizer_path(name: str) -> str:
@@ -62,66 +63,15 @@ def byte_letters() -> list[str]:
     return [out[b] for b in range(256)]
 
 
-class Transducer:
-    """Token counts of pre-tokens, compiled from a vocabulary as states are reached."""
-
-    STATES = 160_000
-
-    def __init__(self, tokens: set[str], merger: Merger):
-        self.tokens, self.merger = tokens, merger
-        self.open = {t[:k] for t in tokens for k in range(1, len(t))}  # what a longer token could absorb
-        self._begin()
-
-    def _begin(self) -> None:
-        self.ids: dict[tuple, dict] = {}
-        self.start = self._state("", (None,), (0,))
-
-    def _state(self, rest: str, last: tuple, counts: tuple[int, ...]) -> dict:
-        """A state: its transitions by letter, and under None what it stands for."""
-        key = (rest, last, counts)
-        if (state := self.ids.get(key)) is None:
-            state = self.ids[key] = {None: key}
-        return state
-
-    def _compile(self, state: dict, letter: str) -> tuple[dict, int]:
-        rest, last, counts = state[None]
-        text, valid, tokens = rest + letter, self.merger.valid, self.tokens
-        known = self.merger.known
-        for j in range(len(text)):
-            token = text[j:]
-            if token in tokens or len(token) == 1:
-                if (ok := known.get((last[j], token))) is None:
-                    ok = valid(last[j], token)
-                if ok:
-                    break
-        else:
-            raise ValueError(f"no token ends {text!r}")
-        k, opened = 0, self.open
-        while k < len(text) and text[k:] not in opened:
-            k += 1
-        base = counts[j] + 1
-        to = self._state(text[k:], (*last[k:], token), tuple([c - base for c in counts[k:]] + [0]))
-        state[letter] = out = (to, base)
-        return out
-
-    def count(self, letters: str) -> int:
-        if len(self.ids) > self.STATES:
-            self._begin()
-        state, total = self.start, 0
-        for letter in letters:
-            try:
-                state, change = state[letter]
-            except KeyError:
-                state, change = self._compile(state, letter)
-            total += change
-        return total
+#: Stands for a special token in spelt texts.
+_SPECIAL = "\1"
 
 
 class TokenCounter:
     """Counts tokens as the tokenizers library does for a byte-level vocabulary file."""
 
-    #: Pieces of text, and pre-tokens, whose counts are remembered.
-    LIMIT = 300_000
+    #: Pieces of text whose counts are remembered.
+    LIMIT = 400_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -130,101 +80,62 @@ class TokenCounter:
         if model["type"] != "BPE" or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or spec["normalizer"]:
             raise ValueError("a byte-level vocabulary without a normalizer is needed")
         ranks = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
-        self.machine = Transducer(set(model["vocab"]), Merger(lambda a, b: ranks.get((a, b))))
-        self.letters = dict(enumerate(byte_letters()))
         special = [t["content"] for t in spec["added_tokens"]]
-        if any(regex.search(f"[{_WS}]", t) for t in special):
-            raise ValueError("special tokens with white space are not supported")
-        self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.known: dict[str, int] = {}
-        self.known_pretokens: dict[str, int] = {}
-
-    def _pretokens(self, text: str) -> int:
-        total, known = 0, self.known_pretokens
-        for m in _PRETOKEN.findall(text):
-            if (n := known.get(m)) is None:
-                if len(known) > self.LIMIT:
-                    known.clear()
-                n = self.machine.count(m.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))
-                if len(m) <= 64:
-                    known[m] = n
-            total += n
-        return total
-
-    def piece(self, text: str) -> int:
+        if any(a.startswith(b[k:]) for a in special for b in special for k in range(a == b, len(b))):
+            raise ValueError("special tokens that overlap are not supported")
+        self.machine = Transducer(set(model["vocab"]) - set(special), Merger(lambda a, b: ranks.get((a, b))))
+        self.letters = dict(enumerate(byte_letters()))
+        self.special, self.specials = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None, special
+        #: Characters around a chunk that decide how its ends are crossed: the longest token, and what settles boundaries near the edge.
+        self.reach = self.machine.longest + 8 + max(map(len, special), default=0)
+        self.known = Memo(self._piece, self.LIMIT)
+
+    def _letters(self, text: str) -> str:
+        return text.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+
+    def _piece(self, text: str) -> int:
         """Tokens of a piece of text that begins and ends at certain boundaries."""
-        if (n := self.known.get(text)) is None:
-            if len(self.known) > self.LIMIT:
-                self.known.clear()
-            if self.special is not None and self.special.search(text):
-                parts = self.special.split(text)
-                n = sum(map(self._pretokens, parts)) + len(parts) - 1
-            else:
-                n = self._pretokens(text)
-            if len(text) <= 64:
-                self.known[text] = n
-        return n
+        return sum(self.machine.count(self._letters(m)) for m in _PRETOKEN.findall(text))
 
     def count(self, text: str) -> int:
-        total, known = 0, self.known
-        for p in _PIECE.findall(text):
-            try:
-                total += known[p]
-            except KeyError:
-                total += self.piece(p)
-        return total
-
-    def state_map(self, chunk: str) -> tuple[str, int | None, str]:
-        """(head, count, tail); count is None where the chunk has no certain boundary, and all of it is the head."""
-        if (first := _GAP.search(chunk)) is None:
-            return chunk, None, ""
-        pieces = _PIECE.findall(chunk, first.start())
-        return chunk[: first.start()], sum(map(self.piece, pieces[:-1])), pieces[-1]
-
-    def compose(self, a: tuple[str, int | None, str], b: tuple[str, int | None, str]) -> tuple[str, int | None, str]:
-        """The state map of two neighbouring chunks; associative."""
-        if a[1] is None and b[1] is None:
-            return self.rest(a[0] + b[0])
-        if a[1] is None:
-            joined = self.rest(a[0] + b[0])
-            return (joined[0], b[1], b[2]) if joined[1] is None else (joined[0], joined[1] + self.count(joined[2]) + b[1], b[2])
-        if b[1] is None:
-            joined = self.rest(a[2] + b[0])
-            return (a[0], a[1], joined[0]) if joined[1] is None else (a[0], a[1] + self.count(joined[0]) + joined[1], joined[2])
-        return a[0], a[1] + self.count(a[2] + b[0]) + b[1], b[2]
-
-    def rest(self, text: str) -> tuple[str, int | None, str]:
-        """State map of joined ends: the seam itself may be a certain boundary."""
-        return self.state_map(text)
-
-    def total(self, whole: tuple[str, int | None, str]) -> int:
-        return self.count(whole[0]) if whole[1] is None else self.count(whole[0]) + whole[1] + self.count(whole[2])
-
-
-_COUNTERS: dict[str, TokenCounter] = {}
+        known = self.known.__getitem__
+        if any(s in text for s in self.specials):
+            parts = self.special.split(text)
+            return sum(sum(map(known, _PIECE.findall(p))) for p in parts[::2]) + len(parts) // 2
+        return sum(map(known, _PIECE.findall(text)))
+
+    def spell(self, window: str, *cuts: int) -> tuple[str, list[int]]:
+        """Letters of a window of text with separators between pre-tokens, and where its cuts lie in them.
+
+        A cut at a boundary lies after the separator, one inside a special token after that token.
+        """
+        parts, places, at, size = [], {}, 0, 0
+        for k, part in enumerate(self.special.split(window) if self.special else [window]):
+            for token in [part] if k % 2 else _PRETOKEN.findall(part):
+                letters = _SPECIAL if k % 2 else self._letters(token)
+                begin = size + 1 if parts else 0
+                for cut in cuts:
+                    if at <= cut < at + len(token):
+                        places[cut] = begin + (len(letters[: cut - at]) if k % 2 else len(self._letters(token[: cut - at])))
+                parts.append(letters)
+                at, size = at + len(token), begin + len(letters)
+        return SEP.join(parts), [places.get(c, size) for c in cuts]
+
+    def chunk_map(self, near: str, begin: int, end: int) -> scan.Matrix:
+        """{(state at begin, state at end): tokens that begin between}; near reaches ``reach`` characters over both."""
+        spelt, (a, b) = self.spell(near, begin, end)
+        return self.machine.matrix(spelt, a, b)
+
+    def chunks(self, text: str, size: int):
+        """(text around a chunk, its begin, its end) of each chunk of a text."""
+        for begin in range(0, len(text), size):
+            end, low = min(begin + size, len(text)), max(0, begin - self.reach)
+            yield text[low : end + self.reach], begin - low, end - low
 
 
 def counter(path: str) -> TokenCounter:
     """One compiled counter a worker."""
-    if path not in _COUNTERS:
-        _COUNTERS[path] = TokenCounter(path)
-    return _COUNTERS[path]
-
-
-def scan(maps: list, compose) -> list:
-    """Inclusive prefix scan by doubling: log2(n) rounds whose steps don't depend on each other."""
-    out, step = list(maps), 1
-    while step < len(out):
-        out = [compose(out[i - step], x) if i >= step else x for i, x in enumerate(out)]
-        step *= 2
-    return out
-
-
-def tree(maps: list, compose):
-    """All maps composed, pairwise."""
-    while len(maps) > 1:
-        maps = [compose(maps[i], maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-    return maps[0]
+    return per_worker(TokenCounter, path)
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT, chunk: int = CHUNK) -> DataFrame:
@@ -232,40 +143,38 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT, c
     path = path or tokenizer_path(MODEL)
     slim = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     kind = slim.schema["doc_id"].dataType.simpleString()
+    fields = f"doc_id {kind}, n_bytes long, n_tokens long"
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([c.count(t) if t else 0 for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    small = slim.filter(F.coalesce(F.length("text"), F.lit(0)) <= chunk).mapInArrow(whole, f"doc_id {kind}, n_bytes long, n_tokens long")
-    giant = slim.filter(F.length("text") > chunk).withColumn("uid", F.monotonically_increasing_id())
+    small = slim.filter(F.coalesce(F.length("text"), F.lit(0)) <= chunk).mapInArrow(whole, fields)
+    giant = slim.filter(F.length("text") > chunk).withColumn("_uid", F.monotonically_increasing_id())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = counter(path)
         for b in batches:
             for i, text in enumerate(b.column("text").to_pylist()):
-                parts = [text[s : s + chunk] for s in range(0, len(text), chunk)]
                 one = b.slice(i, 1)
-                take = pa.array([0] * len(parts), pa.int64())
-                yield pa.RecordBatch.from_arrays([one.column("uid").take(take), one.column("doc_id").take(take), one.column("n_bytes").take(take), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())], ["uid", "doc_id", "n_bytes", "part", "text"])
+                for part, (near, begin, end) in enumerate(c.chunks(text, chunk)):
+                    cells = [pa.array([v], t) for v, t in ((part, pa.int32()), (near, pa.string()), (begin, pa.int32()), (end, pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([*(one.column(x) for x in ("_uid", "doc_id", "n_bytes")), *cells], ["_uid", "doc_id", "n_bytes", "part", "near", "begin", "end"])
 
     def to_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for b in batches:
-            maps = [c.state_map(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("uid", "doc_id", "n_bytes", "part")), pa.array([m[0] for m in maps], pa.string()), pa.array([m[1] for m in maps], pa.int64()), pa.array([m[2] for m in maps], pa.string())], ["uid", "doc_id", "n_bytes", "part", "head", "count", "tail"])
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(path)
-        for b in batches:
-            totals = [c.total(tree([(m["head"], m["count"], m["tail"]) for m in sorted(ms, key=lambda m: m["part"])], c.compose)) for ms in b.column("maps").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(totals, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
-
-    key = f"uid long, doc_id {kind}, n_bytes long, part int"
-    parts = giant.mapInArrow(cut, f"{key}, text string").repartition("uid", "part")
-    maps = parts.mapInArrow(to_maps, f"{key}, head string, count long, tail string")
-    grouped = maps.groupBy("uid", "doc_id", "n_bytes").agg(F.collect_list(F.struct("part", "head", "count", "tail")).alias("maps"))
-    large = grouped.mapInArrow(joined, f"doc_id {kind}, n_bytes long, n_tokens long")
+            for s in range(0, b.num_rows, 16):
+                few = b.slice(s, 16)
+                maps = [c.chunk_map(*x) for x in zip(*(few.column(x).to_pylist() for x in ("near", "begin", "end")), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(few.column(x) for x in ("_uid", "doc_id", "n_bytes", "part")), scan.pack(maps)], ["_uid", "doc_id", "n_bytes", "part", "matrix"])
+
+    key = f"_uid long, doc_id {kind}, n_bytes long, part int"
+    parts = giant.mapInArrow(cut, f"{key}, near string, begin int, end int").repartition("_uid", "part")
+    maps = materialize(parts.mapInArrow(to_maps, f"{key}, matrix {scan.MATRIX}"), "maps")
+    totals = scan.levels(maps.select("_uid", "part", "matrix"))[-1].select("_uid", F.element_at("matrix", 1)["v"].cast("long").alias("n_tokens"))
+    large = maps.filter("part = 0").join(totals, "_uid").select("doc_id", "n_bytes", "n_tokens")
     return small.unionByName(large).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
