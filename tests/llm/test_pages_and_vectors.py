@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -95,14 +96,66 @@ PAGE = """<!DOCTYPE html><html><head><title>Not this</title><style>p{}</style><s
 WANT = "The title & more\nFirst paragraph with bold words here and several others to count.\nSecond paragraph after a break with sufficient words to count too.\nCell one\ncell two\nItem <one>\nItem two\nLast paragraph of the article \u00e9\u4e2d."
 
 
+NONE = ht.Weights({})
+
+
 def test_main_text():
-    assert ht.extract(PAGE, {}) == WANT
-    assert ht.extract(PAGE, ht.weights({k: tuple(v) for k, v in ht.counts(PAGE).items()})) == WANT
+    assert ht.extract(PAGE, NONE) == WANT
+    assert ht.extract(PAGE, ht.Weights({k: tuple(v) for k, v in ht.counts(PAGE).items()})) == WANT
 
 
 @pytest.mark.parametrize("html", ["", "<", "<>", "</p>", "<p", "<!--", "<script>", "&amp", "a & b < c", "<p class='>'>x</p>", "\x00<b>\ud7ff</b>", "<div>" * 3000 + "deep"])
 def test_broken_html(html):
-    assert isinstance(ht.extract(html, {}), str)
+    assert isinstance(ht.extract(html, NONE), str)
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ('<p class="x>Hello', "Hello"),
+        ('<p class="a > b">Hello</p>', "Hello"),
+        ("<p data-x='1>2' class=y>Hello <b>there</b>", "Hello there"),
+        ("<p>it's <a href=x>a \"quote\"</a> here</p>", "it's a \"quote\" here"),
+        ('<article><div class="legal-news"><p>one two three</p></div><p>four five</p></article>', "one two three\nfour five"),
+        ('<div class="has-sidebar"><article><p>one two three</p></article></div>', "one two three"),
+        ('<article><p>one two</p><div class="ad"><p>buy it</p></div><p>three</p></article>', "one two\nthree"),
+        ("<article><header><h1>Title here</h1></header><p>one two</p></article><header>Site name</header>", "Title here\none two"),
+    ],
+)
+def test_small_pages(html, want):
+    assert ht.extract(html, NONE) == want
+
+
+def test_best_region_against_brute_force():
+    r = random.Random(7)
+    for _ in range(300):
+        scores = [r.choice([-3, -2, -1, 0, 1, 2, 3]) for _ in range(r.randint(0, 14))]
+        sums = {(i, j): sum(scores[i : j + 1]) for i in range(len(scores)) for j in range(i, len(scores))}
+        lo, hi = ht.best_region([float(s) for s in scores])
+        best = max([0, *sums.values()])
+        assert (best == 0 and hi < lo) or sums[lo, hi] == best
+
+
+def test_the_scan_and_the_weights_decide():
+    """A name that only weights know to be junk, and a stray line that only the scan leaves out."""
+    pages = [f"<body><div class='zq'>buy {i} now here</div><article><p>{'word ' * 30}</p></article></body>" for i in range(20)]
+    total = {}
+    for p in pages:
+        for k, v in ht.counts(p).items():
+            total[k] = tuple(a + b for a, b in zip(total.get(k, (0, 0)), v))
+    learned = ht.Weights(total)
+    page = "<body><p>Stray line</p><div class='zq'>buy all of these things right now</div><div class='other'><p>The real text of this page is here</p><ul><li>with a list</li></ul></div></body>"
+    assert ht.extract(page, learned) == "The real text of this page is here\nwith a list"
+    scores, blocks = ht.scored(page, learned)
+    assert all(any(w in t for block in blocks for _, t, _ in block) for w in ("Stray", "buy all", "real text"))
+    assert "buy all" in ht.extract(page, NONE)
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a b='", '<a b="', "<!-", "<div>", "</div>", "<div></p>", "<script>", "<p class=x ", "< ", "<a b=c'd"])
+def test_time_is_linear(part):
+    began = time.time()
+    ht.extract(part * (1_000_000 // len(part)), NONE)
+    assert time.time() - began < 20
 
 
 def test_pages(spark):
@@ -115,7 +168,7 @@ def test_pages(spark):
 
 def test_a_long_page():
     body = "".join(f"<p>Paragraph number {i} has some words in it.</p>" for i in range(20_000))
-    text = ht.extract(f"<body><nav>menu</nav><article>{body}</article></body>", {})
+    text = ht.extract(f"<body><nav>menu</nav><article>{body}</article></body>", NONE)
     assert text.count("\n") == 19_999 and "menu" not in text
 
 
