@@ -50,7 +50,7 @@ def brute_rule(url):
 
 
 def test_hosts_paths_and_rules(spark):
-    pages = spark.createDataFrame(list(enumerate(URLS * 2)), "page_id long, url string").withColumns({c: F.lit("x") for c in ("host", "n", "s1", "rule", "a.b")})
+    pages = spark.createDataFrame(list(enumerate(URLS * 2)), "page_id long, url string").withColumns({c: F.lit("x") for c in ("host", "n", "segments", "rule", "a.b")})
     rows = uf.judge(pages).collect()
     assert len(rows) == 2 * len(URLS)
     for r in rows:
@@ -59,8 +59,74 @@ def test_hosts_paths_and_rules(spark):
         assert r["verdict"] == verdict if rule else r["verdict"] in ("allow", "block")
 
 
+def brute_purities(counted):
+    """{(host, segments): purity} of {(host, segments): (n, labelled, good)} by recursion over plain lists."""
+    labelled, good = (sum(v[k] for v in counted.values()) for k in (1, 2))
+    pool, out = good / labelled if labelled else 1.0, {}
+
+    def smooth(rows, above):
+        return (sum(counted[r][2] for r in rows) + uf.PRIOR * above) / (sum(counted[r][1] for r in rows) + uf.PRIOR)
+
+    def split(rows, level, above):
+        by = {}
+        for r in rows:
+            by.setdefault(r[1][level] if level < len(r[1]) else "", []).append(r)
+        total = [sum(counted[r][k] for r in rows) for k in range(3)]
+        kinds = len([s for s in by if s])
+        branches = {}
+        for s, mine in by.items():
+            n, lab, ok = (sum(counted[r][k] for r in mine) for k in range(3))
+            rest, rest_ok, p = total[1] - lab, total[2] - ok, total[2] / max(total[1], 1)
+            error = math.sqrt(p * (1 - p) * (1 / max(lab, 1) + 1 / max(rest, 1)))
+            alike = lab > 0 and rest > 0 and abs(ok / max(lab, 1) - rest_ok / max(rest, 1)) <= uf.DIFFER * error
+            wild = kinds >= uf.VARIABLE_CHILDREN and kinds * 2 > total[0]
+            branches.setdefault("" if s == "" else "*" if wild or alike else s, []).extend(mine)
+        for t, mine in branches.items():
+            purity = smooth(mine, above)
+            if len(rows) == 1 or t == "":
+                out.update(dict.fromkeys(mine, purity))
+            else:
+                split(mine, level + 1, purity)
+
+    for h in {h for h, _ in counted}:
+        rows = [r for r in counted if r[0] == h]
+        split(rows, 0, smooth(rows, pool))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_template_verdicts_against_brute_force(spark, seed):
+    r = random.Random(seed)
+    hosts = ["a.x.net", "b.example.net", "example.com", "c.example.com", "d.org", "e.de", "f.example.com"]
+    names = ["en", "de", "fr", "es", "shop", "news", "a1", "b22", *[f"w{chr(97 + i)}{chr(97 + j)}" for i in range(4) for j in range(6)]]
+    urls = [f"http://{r.choice(hosts)}/" + "/".join(r.choice(names[: r.choice([4, 8, 40])]) for _ in range(r.randint(0, 4))) + r.choice(["", "/"]) for _ in range(500)]
+    urls += ["http://example.com/de/x"] * 20 + ["http://c.example.com/de/" + "deep/" * 5, "http://c.example.com/de/" + "deep/" * 4 + "y", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    counted, keys, verdicts = {}, [], []
+    for u in urls:
+        host, path, _, said = brute_rule(u)
+        key = (host, tuple(re.sub("[0-9]+", "#", x) for x in path.split("/") if x))
+        at = counted.setdefault(key, [0, 0, 0])
+        at[0] += 1
+        at[1] += said is not None
+        at[2] += said == "allow"
+        keys.append(key)
+        verdicts.append(said)
+    purities = brute_purities(counted)
+    rows = uf.judge(pages).collect()
+    assert len(rows) == len(urls)
+    for row in rows:
+        i = row["page_id"]
+        if verdicts[i] is not None:
+            assert row["verdict"] == verdicts[i]
+        else:
+            assert row["purity"] == pytest.approx(purities[keys[i]]), urls[i]
+            assert row["verdict"] == ("block" if purities[keys[i]] < uf.REJECT_BELOW else "allow")
+    assert {row["verdict"] for row in rows if row["rule"] is None} == {"allow", "block"}
+
+
 def test_templates_learn_from_ruled_urls(spark):
-    """Where a template is blocked by rules, its unruled urls are too; elsewhere they are allowed."""
+    """Where a template is blocked by rules, its unruled urls are too; a host without labels draws on all of them."""
     rules = (("x.org", "/shop/1", "block"), ("x.org", "/news/1", "allow"))
     urls = [f"http://x.org/shop/{i}" for i in range(1, 300)] + [f"http://x.org/news/{i}" for i in range(1, 300)] + ["http://y.org/shop/5"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
@@ -69,13 +135,12 @@ def test_templates_learn_from_ruled_urls(spark):
 
 
 def test_variable_places_become_wildcards(spark):
-    urls = [f"http://x.org/u/name{chr(97 + i % 26)}{chr(97 + i // 26)}/page" for i in range(200)] + ["http://x.org/about"] * 50
+    urls = [f"http://x.org/u/name{chr(97 + i % 26)}{chr(97 + i // 26)}/page" for i in range(200)] + ["http://x.org/about"] * 50 + ["http://x.org/u/namexx/page/a/b/c/d"]
     pages = spark.createDataFrame([(u,) for u in urls], "url string")
     host, path = uf.host_and_path(F.col("url"))
-    parts = uf.segments(path)
-    counted = pages.select(host.alias("host"), *[p.alias(f"s{i + 1}") for i, p in enumerate(parts)]).groupBy("host", "s1", "s2", "s3").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("labelled"), F.lit(0).cast("long").alias("good"))
-    rows = uf.templates(counted).select("t1", "t2", "t3").distinct().collect()
-    assert sorted(map(tuple, rows)) == [("about", "", ""), ("u", "*", "page")]
+    counted = pages.groupBy(host.alias("host"), uf.segments(path).alias("segments")).agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("labelled"), F.lit(0).cast("long").alias("good"))
+    rows = uf.templates(counted).select("template").distinct().collect()
+    assert sorted(tuple(r[0]) for r in rows) == [("about",), ("u", "*", "page", ""), ("u", "*", "page", "a", "b", "c", "d")]
 
 
 def test_url_filter_of_an_empty_table(spark):
