@@ -74,22 +74,26 @@ def source_targets(sizes: DataFrame, phases=PHASES, budget=BUDGET, max_epochs=MA
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    return docs.select("*", n_words(F.col("text")).alias("size"), key.alias("order_key")).withColumn("bucket", F.substring("order_key", 1, BUCKET_DIGITS))
+    """docs with their size, the key of their order, and (skey, bucket) by which they are dealt; skey is never null."""
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary"))
+    sized = docs.select("*", n_words(F.col("text")).alias("size"), key.alias("order_key"))
+    return sized.withColumns({"bucket": F.substring("order_key", 1, BUCKET_DIGITS), "skey": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))})
 
 
 def _placed(keyed: DataFrame, phases, budget, max_epochs) -> DataFrame:
-    """keyed with each source's size and target and the words of the source before each document."""
-    sums = keyed.select("source", "bucket", "size").groupBy("source", "bucket").agg(F.sum("size").alias("size"))
-    targets = source_targets(sums, phases, budget, max_epochs)
-    up_to = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("source", "bucket", F.coalesce(F.sum("size").over(up_to), F.lit(0)).alias("bucket_from"))
-    offsets = offsets.join(targets.withColumnRenamed("source", "source_t"), F.col("source").eqNullSafe(F.col("source_t"))).drop("source_t")
-    offsets = offsets.withColumnsRenamed({"source": "source_o", "bucket": "bucket_o"})
-    inside = Window.partitionBy("source", "bucket").orderBy("order_key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    """keyed with each source's size and target and the words of the source before each document.
+
+    The window inside a bucket and the join with what stands before it have the same
+    keys, so rows move once.
+    """
+    sums = keyed.select("source", "skey", "bucket", "size").groupBy("source", "skey", "bucket").agg(F.sum("size").alias("size"))
+    targets = source_targets(sums, phases, budget, max_epochs).withColumn("skey", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))).drop("source")
+    up_to = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("skey", "bucket", F.coalesce(F.sum("size").over(up_to), F.lit(0)).alias("bucket_from")).join(targets, "skey")
+    inside = Window.partitionBy("skey", "bucket").orderBy("order_key", "size").rowsBetween(Window.unboundedPreceding, -1)
     ordered = keyed.withColumn("inside_from", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    both = ordered.join(offsets, F.col("source").eqNullSafe(F.col("source_o")) & (F.col("bucket") == F.col("bucket_o")))
-    return both.withColumn("words_before", F.col("bucket_from") + F.col("inside_from")).drop("source_o", "bucket_o", "bucket_from", "inside_from")
+    both = ordered.join(offsets.hint("merge"), ["skey", "bucket"])
+    return both.withColumn("words_before", F.col("bucket_from") + F.col("inside_from")).drop("bucket_from", "inside_from")
 
 
 def _position(demand, phases):
@@ -136,32 +140,34 @@ def mix(docs: DataFrame, phases=PHASES, budget=BUDGET, max_epochs=MAX_EPOCHS) ->
     return out.orderBy(F.size("positions") == 0, "positions", "doc_id")
 
 
-def training_order(docs: DataFrame, phases=PHASES, budget=BUDGET, max_epochs=MAX_EPOCHS) -> DataFrame:
-    """Every copy that training reads, in order: the columns of docs plus epoch and position.
+def training_order(docs: DataFrame, phases=PHASES, budget=BUDGET, max_epochs=MAX_EPOCHS, marks: bool = True) -> DataFrame:
+    """Every copy that training reads, in order: the columns of docs, with marks also mix_epoch and mix_position.
 
     A copy is taken whole if more than half of its words lie before its source's
     target, so each source is within half a document of it. The output is sorted
     by position over range partitions.
     """
     names = docs.columns
-    own = F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc")
+    own = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("doc")
     base = docs.select(own, F.col("doc_id"), F.col("text"), F.col("source"))
     placed = _placed(_keyed(base).drop("text"), phases, budget, max_epochs)
-    start = F.col("words_before") + F.col("epoch") * F.col("source_size")
     copies = placed.withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(max_epochs)])))
+    start = F.col("words_before") + F.col("epoch") * F.col("source_size")
     copies = copies.withColumn("middle", start + F.col("size") / F.lit(2.0)).filter((F.col("middle") < F.col("target")) | ((F.col("size") == 0) & (F.col("epoch") == 0)))
-    placed_copies = copies.withColumn("position", _position(_demand(start), phases))
-    return placed_copies.orderBy("position", "doc_id", "epoch").select("doc.*", F.col("epoch").alias("mix_epoch"), F.col("position").alias("mix_position"))
+    slim = copies.select("doc", "doc_id", "epoch", _position(_demand(start), phases).alias("position"))
+    ordered = slim.orderBy("position", "doc_id", "epoch").select("doc.*", *(["epoch", "position"] if marks else []))
+    return ordered.toDF(*names, *(["mix_epoch", "mix_position"] if marks else []))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in the order of their first copies; the SQL has no column for positions."""
-    return mix(table(spark, sf_dir, "documents")).drop("positions")
+    """Documents in the order of their first copies, with the training time of these (null without a copy)."""
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.try_element_at("positions", F.lit(1)).alias("first_position"))
 
 
 ORACLE_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS k,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
@@ -172,9 +178,19 @@ m AS (SELECT *, (wanted - coalesce(sum(cap) OVER (ORDER BY ratio, rank ROWS BETW
           / sum(weight) OVER (ORDER BY ratio, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level_here FROM l),
 t AS (SELECT source, source_size,
         least(CAST(cap AS DOUBLE), weight * (SELECT level_here FROM m WHERE level_here <= ratio ORDER BY ratio, rank LIMIT 1)) AS target FROM m),
-p AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b FROM sized)
-SELECT p.doc_id, p.size, t.source_size, t.target,
-  CAST(greatest(0, least(p.size, CAST(round(t.target) AS BIGINT) - p.b))
-     + greatest(0, least(p.size, CAST(round(t.target) AS BIGINT) - p.b - t.source_size)) AS BIGINT) AS taken
-FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+p AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b FROM sized),
+c AS (
+  SELECT p.doc_id, p.size, t.source_size, t.target,
+    greatest(0, least(p.size, CAST(round(t.target) AS BIGINT) - p.b)) AS words0,
+    greatest(0, least(p.size, CAST(round(t.target) AS BIGINT) - p.b - t.source_size)) AS words1,
+    CAST(p.b AS DOUBLE) / t.target AS demand,
+    CASE r.rank % 3 WHEN 0 THEN 3.5::DOUBLE / 5.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE / 2.0::DOUBLE ELSE 0.25::DOUBLE / 1.0::DOUBLE END AS early,
+    CASE r.rank % 3 WHEN 0 THEN 1.5::DOUBLE / 5.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE / 2.0::DOUBLE ELSE 0.75::DOUBLE / 1.0::DOUBLE END AS late
+  FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source JOIN r ON p.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target, CAST(words0 + words1 AS BIGINT) AS taken,
+  CASE WHEN words0 = 0 THEN NULL
+       WHEN demand <= early THEN least(0.0::DOUBLE + 0.5::DOUBLE * (demand / early), 1.0::DOUBLE)
+       WHEN demand <= early + late THEN least(0.5::DOUBLE + 0.5::DOUBLE * ((demand - early) / late), 1.0::DOUBLE)
+       ELSE 1.0::DOUBLE END AS first_position
+FROM c
 """
