@@ -27,7 +27,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of documents in training order (operator 1), with the columns of documents."""
-    return mixing.training_order(docs).select(*docs.columns)
+    return mixing.training_order(docs, marks=False)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
