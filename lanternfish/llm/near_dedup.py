@@ -22,7 +22,7 @@ blocks; nothing is capped, broadcast or collected.
 
 Defined cases: null texts and texts without words have an empty set and are
 linked with nothing; shorter texts than a shingle are one shingle; rows with the
-same doc_id are one document, linked as any of them is; extra columns are
+same doc_id are one document, and all their sets count as linked with each other; extra columns are
 ignored; empty tables give empty results.
 """
 
@@ -35,7 +35,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import grams, materialize, mix64, table, word_hashes
@@ -49,7 +49,7 @@ BATCH = 32
 MISS = 1e-7
 NO_BUCKET = 3e-7
 #: Buckets over this size meet in blocks of about so many documents.
-LARGE, BLOCK = 64, 512
+LARGE, BLOCK, BLOCK_BYTES = 64, 512, 1 << 23
 #: Bits of the map that keeps most texts without candidates from the shuffle: 2^20 words, about 32 MB, at most.
 FILTER_BITS = 1 << 26
 
@@ -66,6 +66,12 @@ def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
     return np.unique(grams(h, n)) if len(h) >= n else grams(h, len(h)) + np.uint64(len(h))
 
 
+def set_key(s: np.ndarray) -> bytes:
+    """160 bits that are equal where sets are."""
+    with np.errstate(over="ignore"):
+        return b"".join(int(x).to_bytes(8, "big") for x in (mix64(s).sum(dtype=np.uint64), mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))) + len(s).to_bytes(4, "big")
+
+
 def signature(s: np.ndarray) -> np.ndarray:
     low = (s >> np.uint64(32)).astype(np.uint32)
     out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
@@ -132,8 +138,7 @@ def features(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
             for text in b.column(1).to_pylist():
                 s = shingles(text, shingle)
                 n.append(len(s))
-                with np.errstate(over="ignore"):
-                    keys.append(b"".join(int(x).to_bytes(8, "big") for x in (mix64(s).sum(dtype=np.uint64), mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))) + len(s).to_bytes(4, "big"))
+                keys.append(set_key(s))
                 sig = signature(s) if len(s) else None
                 sigs.append(sig.astype(np.uint8).tobytes() if len(s) else None)
                 bands.append(band_keys(sig, percent) if len(s) else None)
@@ -241,16 +246,22 @@ def _small_pairs(rows: DataFrame, sigs: DataFrame, percent: int, best: bool) ->
 def _block_links(rows: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) inside groups of any size: rows (group, doc, n, comp, minor).
 
-    A group meets in blocks of documents: minor ones with all of other
-    components. Pairs are confirmed where they meet and never leave the task;
-    of the links that join the same two components one is enough.
+    A group meets in blocks: those of its minor documents with those of all of
+    them. A block holds ``BLOCK`` documents and ``BLOCK_BYTES`` of sets, about. Pairs
+    are confirmed where they meet and never leave the task; of the links that join
+    the same two components one is enough.
     """
-    sizes = rows.groupBy("group").agg(F.ceil(F.count("doc") / F.lit(BLOCK)).cast("int").alias("blocks"))
+
+    def blocks(which) -> Column:
+        shingled = F.sum(F.when(which, F.col("n")).otherwise(0)) * F.lit(8 / BLOCK_BYTES)
+        return F.ceil(F.greatest(F.lit(1.0), F.count_if(which) / F.lit(BLOCK), shingled)).cast("int")
+
+    sizes = rows.groupBy("group").agg(blocks(F.col("minor")).alias("minors"), blocks(F.lit(True)).alias("blocks"))
     full = rows.join(sizes, "group").join(sigs, "doc").join(sets, "doc")
-    place, every = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
     names = ("doc", "n", "comp", "sig", "shingles")
-    left = full.filter("minor").withColumn("i", place).withColumn("j", F.explode(every)).select("group", "i", "j", *names)
-    right = full.withColumn("j", place).withColumn("i", F.explode(every)).select(*[F.col(c).alias(f"{c}_y") for c in ("group", "i", "j", *names)])
+    mine, place = (F.pmod(F.xxhash64("doc"), F.col(c)).cast("int") for c in ("minors", "blocks"))
+    left = full.filter("minor").withColumn("i", mine).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("group", "i", "j", *names)
+    right = full.withColumn("j", place).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("minors") - 1))).select(*[F.col(c).alias(f"{c}_y") for c in ("group", "i", "j", *names)])
 
     def meet(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -283,7 +294,11 @@ def find_links(found: DataFrame, docs: DataFrame, percent: int = PERCENT, shingl
     already say: pairs inside a component need no link of their own.
     """
     groups = materialize(found.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc")), "sets")
-    nodes = found.join(groups, "key").filter(F.col("doc_id") == F.col("doc")).dropDuplicates(["doc"]).select("doc", F.col("n_shingles").alias("n"), "sig", "bands")
+    placed = found.join(groups, "key")
+    nodes = placed.filter(F.col("doc_id") == F.col("doc")).dropDuplicates(["key"]).select("doc", F.col("n_shingles").alias("n"), "sig", "bands")
+    # A doc_id with several texts ties the sets of all of them.
+    tied = placed.groupBy("doc_id").agg(F.min("doc").alias("a"), F.max("doc").alias("other")).filter("a < other").select("doc_id", "a")
+    ties_of_ids = placed.join(tied, "doc_id").filter("doc > a").select("a", F.col("doc").alias("b"))
     in_bands = nodes.select("doc", "n", F.explode("bands").alias("bucket"))
     buckets = in_bands.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.count("doc").alias("size")).filter("size > 1")
     members = materialize(in_bands.join(buckets, "bucket"), "members")
@@ -292,14 +307,17 @@ def find_links(found: DataFrame, docs: DataFrame, percent: int = PERCENT, shingl
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, shingle).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["doc", "shingles"])
+            for s in range(0, b.num_rows, 1024):
+                part = b.slice(s, 1024)
+                sets = [shingles(t, shingle) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_key(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc", "key", "shingles"])
 
     texts = _may_be_in(docs.select(F.col("doc_id").alias("doc"), "text"), involved).join(involved, "doc", "left_semi")
-    sets = materialize(texts.mapInArrow(to_sets, "doc long, shingles binary").dropDuplicates(["doc"]), "shingles")
+    sets = materialize(texts.mapInArrow(to_sets, "doc long, key binary, shingles binary").dropDuplicates(["doc", "key"]).drop("key"), "shingles")
 
     # Every member against its bucket's smallest.
     stars = members.filter("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
-    first = materialize(_confirmed(_pruned(stars, sigs, percent), sets, percent), "links")
+    first = materialize(_confirmed(_pruned(stars, sigs, percent), sets, percent).distinct(), "links")
 
     # Members of small buckets not linked to it, against the likeliest of the others.
     ties = first.select(F.col("a").alias("pivot"), F.col("b").alias("doc"), F.col("a").alias("to"))
@@ -308,7 +326,7 @@ def find_links(found: DataFrame, docs: DataFrame, percent: int = PERCENT, shingl
     second = materialize(_confirmed(_small_pairs(others.join(strays, "bucket", "left_semi"), sigs, percent, True), sets, percent), "links")
 
     # Whatever may still join two components: in small buckets,
-    joined = components(first.union(second)).withColumnRenamed("node", "doc")
+    joined = components(first.union(second).union(ties_of_ids)).withColumnRenamed("node", "doc")
     now = materialize(members.join(joined, "doc", "left").withColumn("comp", F.coalesce("component", "doc")).select("bucket", "pivot", "size", "doc", "n", "comp"), "now")
     third = _confirmed(_small_pairs(_several(now.filter(f"size > 2 AND size <= {int(large)}").select("bucket", "doc", "n", "comp"), "bucket"), sigs, percent, False), sets, percent)
 
@@ -317,7 +335,7 @@ def find_links(found: DataFrame, docs: DataFrame, percent: int = PERCENT, shingl
     together = components(wide.select(F.col("pivot").alias("a"), F.col("doc").alias("b"))).select(F.col("node").alias("doc"), F.col("component").alias("group"))
     rows = wide.select("doc", "n", "comp").distinct().join(together, "doc").select("group", "doc", "n", "comp")
     fourth = _block_links(materialize(_several(rows, "group"), "groups"), sigs, sets, percent)
-    return materialize(first.union(second).union(third).union(fourth), "all_links"), groups
+    return materialize(first.union(second).union(third).union(fourth).union(ties_of_ids), "all_links"), groups
 
 
 def _several(rows: DataFrame, key: str) -> DataFrame:

@@ -51,6 +51,34 @@ def test_hot_group_of_copies(spark):
     assert all(c == i for i, (_, c) in got.items() if i % 3 == 0)
 
 
+def test_several_texts_of_one_doc_id(spark):
+    """Both texts of document 5 have near copies; every set counts, whatever row comes first."""
+    a, b, c = prose(31, 60), prose(32, 90), prose(33, 70)
+    rows = [(5, a, "s"), (5, b, "s"), (7, a + " more", "s"), (9, b + " more", "s"), (3, c, "s"), (11, c, "s"), (11, b + " other", "s"), (20, prose(34, 50), "s"), (5, a, "s")]
+    got = near_dedup.near_duplicates(documents(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert {r["component_id"] for r in got if r["doc_id"] != 20} == {3} and {r["component_id"] for r in got if r["doc_id"] == 20} == {20}
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_many_components_in_a_hot_group(spark, monkeypatch, block):
+    """Families of one stem, linked inside and hardly across, that share buckets."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    stem, rows = prose(40, 150).split(" "), []
+    for k in range(30):
+        r = random.Random(k)
+        branch = list(stem)
+        for _ in range(r.randrange(4, 9)):
+            branch[r.randrange(150)] = f"b{k}x{r.randrange(999)}"
+        for j in range(r.randrange(1, 6)):
+            leaf = list(branch)
+            leaf[r.randrange(150)] = f"l{k}x{j}"
+            rows.append((len(rows), " ".join(leaf)))
+    got = result(near_dedup.near_duplicates(documents(spark, [(i, t, "s") for i, t in rows]), large=6))
+    assert got == brute_components(rows)
+    assert len({c for _, c in got.values()}) > 1
+
+
 def test_least_matches_bounds_the_miss_rate():
     rng = np.random.default_rng(1)
     for n in (32, 96, 192):
