@@ -28,6 +28,11 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text) if text else []
 
 
+def byte_words(text: str | None) -> list[bytes]:
+    """The same words in UTF-8, several times as fast: bytes are split at ASCII white space alone."""
+    return text.encode("utf-8", "surrogatepass").split() if text else []
+
+
 def ascii_lower(text: str) -> str:
     return text.translate(_LOWER) if not text.isascii() else text.lower()
 
@@ -119,6 +124,7 @@ _RNG = np.random.default_rng(0x5EED)
 _BYTE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
 _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
+_BYTE_OTHER = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _P = 0x9E3779B97F4A7C55
@@ -136,11 +142,11 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def word_hashes(text: str | None, lower: bool = False, segment: int = 1 << 20) -> np.ndarray:
+def word_hashes(text: str | None, lower: bool = False, segment: int = 1 << 20, other: bool = False) -> np.ndarray:
     """64-bit hashes of the words of a whole text, in order, without a Python object for each.
 
     A word's hash is a polynomial in its bytes, read off running sums over the
-    text. lower: as if A-Z were a-z. Long texts go by segments that end at white
+    text. lower: as if A-Z were a-z; other: hashes independent of the usual ones. Long texts go by segments that end at white
     space, so memory follows the longest word and not the text.
     """
     if not text:
@@ -156,7 +162,7 @@ def word_hashes(text: str | None, lower: bool = False, segment: int = 1 << 20) -
             else:
                 rest = np.flatnonzero(_BLANK[data[end:]])
                 end = end + int(rest[0]) + 1 if len(rest) else len(data)
-        out.append(_segment_hashes(data[at:end], _BYTE_LOWER if lower else _BYTE))
+        out.append(_segment_hashes(data[at:end], _BYTE_LOWER if lower else _BYTE_OTHER if other else _BYTE))
         at = end
     return np.concatenate(out)
 

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import covered, gram_ids, grams, map_by_place, table, words
+from .common import byte_words, covered, gram_ids, grams, map_by_place, table
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -38,6 +38,7 @@ MAX_BAD_CHUNKS = 0.5
 PIECE_BYTES = 16384
 
 _SYMBOL = re.compile(r"[#*$%&|<>]")
+_BLANK = " \t\n\v\f\r"
 _HAS_WORD = re.compile(r"[^\x20\x09-\x0D]")
 
 
@@ -45,7 +46,7 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a whole text."""
     if not text:
         return 0, 0, 0, 0, 0
-    ws = words(text)
+    ws = byte_words(text)
     n_dup, seen = 0, set()
     for line in text.split("\n"):
         if _HAS_WORD.search(line):
@@ -56,10 +57,10 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     if len(ws) > WINDOW:
         sums = np.sort(grams(np.fromiter(map(hash, ws), np.int64, len(ws)).view(np.uint64), WINDOW))
         if (sums[1:] == sums[:-1]).any():  # equal windows have equal hashes; which ones are equal is settled exactly
-            known: dict[str, int] = {}
+            known: dict[bytes, int] = {}
             wins = gram_ids(np.array([known.setdefault(w, len(known)) for w in ws], dtype=np.int64), WINDOW)
             n_repeat = int(covered((np.bincount(wins) > 1)[wins], WINDOW, len(ws)).sum())
-    return len(ws), sum(map(len, ws)), len(_SYMBOL.findall(text)), n_dup, n_repeat
+    return len(ws), len(text) - sum(map(text.count, _BLANK)), len(_SYMBOL.findall(text)), n_dup, n_repeat
 
 
 def base_failed(n_words: int, n_repeat: int) -> bool:

@@ -12,15 +12,16 @@ also starts in a document with a smaller doc_id.
    classes can a window of a class's first document recur on its own; those
    windows are counted one by one. Minima are combined before each shuffle, and
    the joins back are ordinary equi-joins that Spark splits where one is hot.
-3. Location. Documents come together with their confirmed passages. Each block of
-   documents (``BLOCK_CHARS`` characters) is a shard: its passages' windows are
-   compiled, neighbouring ones as one passage and each word as one letter, into an
-   Aho-Corasick automaton, and every document of the block is streamed through it
-   to find all occurrences. An automaton has no more states than its block has
-   words, whatever the size of the corpus.
+3. Location. The joins of step 2 place every passage in its documents; were all
+   passages of a corpus in automata and all documents streamed through each, work
+   would grow with the square of the corpus. So each block of documents
+   (``BLOCK_CHARS`` characters) is a shard: its passages are compiled, neighbouring
+   windows as one passage and each word as one letter, into an Aho-Corasick
+   automaton, and every document of the block is streamed through it to find all
+   occurrences. An automaton has no more states than its block has words.
 
-Classes are told apart by 96 bits and windows by 128 bits of hash, passages in an
-automaton by the words themselves.
+Runs are told apart by 96 bits of hash and windows by 128 bits of two independent
+hashes; the words of a passage are compared inside a block only.
 
 Defined cases: null, empty and shorter texts than a window lose nothing; repeated
 rows of one doc_id don't remove each other; extra columns are ignored by
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, by_place, grams, map_by_place, materialize, mix64, table, word_hashes, words
+from .common import WORD, by_place, byte_words, grams, map_by_place, materialize, mix64, table, word_hashes
 
 WINDOW = 13
 ANCHOR = 7
@@ -138,7 +139,7 @@ def _windows(marked: DataFrame, doubtful: DataFrame, window: int) -> DataFrame:
             for i, mark, text, rs in zip(*(b.column(x).to_pylist() for x in ("doc", "mark", "text", "runs")), strict=True):
                 h = word_hashes(text)
                 at = np.unique(np.concatenate([np.arange(r["start"], r["start"] + r["size"]) for r in rs]))
-                w1, w2 = grams(h, window), grams(mix64(h), window)
+                w1, w2 = grams(h, window), grams(word_hashes(text, other=True), window)
                 yield pa.RecordBatch.from_arrays([pa.array(w1[at].view(np.int64)), pa.array(w2[at].view(np.int64)), pa.array(np.full(len(at), i, np.int64)), pa.array(np.full(len(at), mark, np.int32)), pa.array(at.astype(np.int32))], ["w1", "w2", "doc", "mark", "start"])
 
     return marked.join(lists, ["doc", "mark"]).mapInArrow(run, "w1 long, w2 long, doc long, mark int, start int")
@@ -168,7 +169,7 @@ def _merged(start: np.ndarray, size: np.ndarray, first: np.ndarray) -> list[tupl
 class _Letters(dict):
     """A letter for each word of a block, so that a document is a string and a passage a substring."""
 
-    def __missing__(self, word: str) -> str:
+    def __missing__(self, word: bytes) -> str:
         n = len(self) + 1
         letter = self[word] = chr(n if n < 0xD800 else n + 0x800)
         return letter
@@ -193,29 +194,29 @@ def _automaton(block: list[tuple[int, str, list]], window: int):
     return machine
 
 
-def removed(block: list[tuple[int, str | None, list]], window: int = WINDOW) -> list[tuple[list[str], np.ndarray | None]]:
+def removed(block: list[tuple[int, str | None, list]], window: int = WINDOW) -> Iterator[tuple[list[bytes], np.ndarray | None]]:
     """Words of each document (doc_id, text, merged runs) of a block, and the mask of those that go (None: none).
 
     Every document is streamed through the automaton; a passage goes where it is
     found in a document later than all those that its windows start in.
     """
     letters = _Letters()
-    split = [words(t) for _, t, _ in block]
+    split = [byte_words(t) for _, t, _ in block]
     spelled = [(i, "".join(map(letters.__getitem__, ws)), found) for (i, _, found), ws in zip(block, split, strict=True)]
     machine = _automaton(spelled, window)
-    out = []
     for (doc, text, _), ws in zip(spelled, split, strict=True):
         gone = None
         if machine is not None and len(ws) >= window and doc is not None:
-            spans = [(e + 1 - n, e + 1) for e, (n, first) in machine.iter(text) if first < doc]
-            if spans:
-                edge = np.zeros(len(ws) + 1, np.int64)
-                a, b = np.array(spans).T
-                np.add.at(edge, a, 1)
-                np.add.at(edge, b, -1)
+            # Occurrences are counted as they come: a list of them could be far longer than the text.
+            edge: list[int] = []
+            for e, (n, first) in machine.iter(text):
+                if first < doc:
+                    edge = edge or [0] * (len(ws) + 1)
+                    edge[e + 1 - n] += 1
+                    edge[e + 1] -= 1
+            if edge:
                 gone = np.cumsum(edge[:-1]) > 0
-        out.append((ws, gone))
-    return out
+        yield ws, gone
 
 
 def _located(docs: DataFrame, found: DataFrame, id_at: int, text_at: int) -> DataFrame:
@@ -246,8 +247,8 @@ def _blocks(b: pa.RecordBatch, id_at: int, text_at: int, chars: int):
             begin, held = k + 1, 0
 
 
-def _kept(ws: list[str], gone: np.ndarray | None) -> str:
-    return " ".join(ws if gone is None else [w for w, g in zip(ws, gone.tolist(), strict=True) if not g])
+def _kept(ws: list[bytes], gone: np.ndarray | None) -> bytes:
+    return b" ".join(ws if gone is None else [w for w, g in zip(ws, gone.tolist(), strict=True) if not g])
 
 
 def digest(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, chars: int = BLOCK_CHARS) -> DataFrame:
@@ -257,7 +258,7 @@ def digest(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, chars: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, block in _blocks(b, 0, 1, chars):
-                rows = [(len(ws), 0 if gone is None else int(gone.sum()), hashlib.sha256(_kept(ws, gone).encode("utf-8", "surrogatepass")).hexdigest()) for ws, gone in removed(block, window)]
+                rows = [(len(ws), 0 if gone is None else int(gone.sum()), hashlib.sha256(_kept(ws, gone)).hexdigest()) for ws, gone in removed(block, window)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))]], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return _located(by_place(slim), passages(slim, window, anchor), 0, 1).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
