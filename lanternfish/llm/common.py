@@ -180,15 +180,24 @@ def _segment_hashes(data: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
-    """64-bit hash of every run of n items, from the items' hashes."""
+    """64-bit hash of every run of n items, from the items' hashes.
+
+    A polynomial in the items; runs double in length (1, 2, 4, ...) and the
+    lengths that sum to n are put together.
+    """
     m = len(h) - n + 1
     if m <= 0:
         return np.empty(0, dtype=np.uint64)
-    acc = np.zeros(m, dtype=np.uint64)
+    level, length, base, acc, done, shift = h, 1, 0x9E3779B97F4A7C15, None, 0, 1
     with np.errstate(over="ignore"):
-        for i in range(n):
-            acc = acc * np.uint64(0x9E3779B97F4A7C15) + h[i : i + m]
-    return mix64(acc)
+        while True:
+            if n & length:
+                acc = level if acc is None else level[: len(acc) - length] * np.uint64(shift) + acc[length:]
+                done, shift = done + length, shift * base % (1 << 64)
+            if done == n:
+                return mix64(acc[:m])
+            level = level[:-length] * np.uint64(base) + level[length:]
+            length, base = length * 2, base * base % (1 << 64)
 
 
 def gram_ids(ids: np.ndarray, n: int) -> np.ndarray:

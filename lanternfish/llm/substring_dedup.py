@@ -54,9 +54,10 @@ def runs(h: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.
         none = np.empty(0, np.int64)
         return none, none, none, none
     g, width = grams(h, anchor), window - anchor + 1
-    least = g[:m].copy()
-    for i in range(1, width):
-        np.minimum(least, g[i : i + m], out=least)
+    least, span = g, 1
+    while span < width:  # the least of ``span`` neighbours, then of as many more as still fit
+        step = min(span, width - span)
+        least, span = np.minimum(least[:-step], least[step:]), span + step
     first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
     size = np.diff(np.concatenate([first, [m]]))
     place = np.arange(m) - np.repeat(first, size)
