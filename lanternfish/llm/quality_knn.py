@@ -5,18 +5,20 @@ hashed to a fixed number of columns, and how often words repeat. Term frequencie
 weighted by rarity are projected to ``TOPICS`` latent dimensions by a truncated
 singular value decomposition, fitted on ``SAMPLE`` labelled documents at most
 (those with the smallest hash of doc_id). Their vectors and labels, of a fixed
-size (``SAMPLE`` x ``TOPICS`` floats), are broadcast with the projection. Every
-document's cosines with all of them are computed exactly, block by block, and the
-labels of its ``NEIGHBOURS`` nearest are averaged with their similarities as
-weights.
+size (``SAMPLE`` x ``TOPICS`` floats), are broadcast with the projection. Latent
+vectors are rounded to integers, so a product of ``BLOCK`` documents with all
+labelled vectors is exact whatever order the sums are taken in. The labels of the
+``NEIGHBOURS`` nearest are averaged with their similarities as weights.
 
 Whole texts of all documents are scored; doc_id, lang, source and labels are no
 inputs of a score. There is no shuffle of documents.
 
 Defined cases: null and empty texts, and texts without words, get the share of
 good labels in the sample; without any labels every score is 0.5; equal texts get
-equal scores; rows of labels that are null or in conflict: nulls are ignored, the
-smaller label of a doc_id counts; extra columns are ignored.
+equal scores; neighbours as near as the last one that counts all count; rows of labels
+that are null or in conflict: nulls are ignored, the smaller label of a doc_id
+counts; of several texts of a labelled doc_id the one with the smallest hash is
+learned; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, words
+from .common import byte_words, table
 
 SAMPLE = 4096
 TOPICS = 32
@@ -42,7 +44,9 @@ EXTRA = 3
 COLUMNS = SHAPES + LEXICON + EXTRA
 #: Weight of a similarity in the vote is its power to this.
 SHARPNESS = 4
-BLOCK = 1024
+BLOCK = 256
+#: Latent vectors have this length before they are rounded: sums of products stay below 2^24, where 32-bit floats are exact.
+UNIT = 2048
 
 _CLASSES = ((re.compile(r"[^\W\d_]+"), lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "Aa" if m[0][0].isupper() else "a"), (re.compile(r"\d+"), lambda m: "0"))
 
@@ -50,7 +54,7 @@ _CLASSES = ((re.compile(r"[^\W\d_]+"), lambda m: "A" if m[0].isupper() and len(m
 def _shape(word: str) -> str:
     for pattern, to in _CLASSES:
         word = pattern.sub(to, word)
-    return word[:24]
+    return word
 
 
 class Terms:
@@ -59,17 +63,18 @@ class Terms:
     LIMIT = 400_000
 
     def __init__(self):
-        self.known: dict[str, tuple[int, int]] = {}
+        self.known: dict[bytes, tuple[int, int]] = {}
 
-    def _columns(self, word: str) -> tuple[int, int]:
+    def _columns(self, spelt: bytes) -> tuple[int, int]:
         if len(self.known) > self.LIMIT:
             self.known.clear()
-        out = self.known[word] = (zlib.crc32(_shape(word).encode("utf-8", "surrogatepass")) % SHAPES, SHAPES + zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % LEXICON)
+        word = spelt.decode("utf-8", "surrogatepass")
+        out = self.known[spelt] = (zlib.crc32(_shape(word).encode("utf-8", "surrogatepass")) % SHAPES, SHAPES + zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % LEXICON)
         return out
 
     def row(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Columns and term frequencies (of the words in all) of a whole text; empty without words."""
-        ws = words(text)
+        ws = byte_words(text)
         if not ws:
             return np.empty(0, np.int32), np.empty(0, np.float32)
         n, total, known = len(ws), np.zeros(COLUMNS, np.float32), self.known
@@ -78,7 +83,7 @@ class Terms:
         each = np.fromiter(counts.values(), np.float64, len(counts))
         for column in pairs.T:
             total += np.bincount(column, each, COLUMNS).astype(np.float32)
-        total[SHAPES + LEXICON] = sum(map(str.__eq__, ws, ws[1:]))
+        total[SHAPES + LEXICON] = sum(map(bytes.__eq__, ws, ws[1:]))
         total[SHAPES + LEXICON + 1] = n - len(counts)
         total /= n
         total[-1] = min(1.0, np.log1p(n) / 10)
@@ -108,36 +113,38 @@ class Model:
             q, _ = np.linalg.qr(a.T @ (a @ q)) if len(rows) else (q, None)
         _, _, axes = np.linalg.svd(a @ q, full_matrices=False) if len(rows) else (None, None, np.eye(q.shape[1], dtype=np.float32))
         self.axes = np.ascontiguousarray((q @ axes.T)[:, :topics]).astype(np.float32)
-        self.vectors = self.project(x)
-
-    def project(self, x: np.ndarray) -> np.ndarray:
-        v = (x * self.rarity) @ self.axes
-        norm = np.linalg.norm(v, axis=1, keepdims=True)
-        return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+        self.vectors = np.array([self.vector(*row) for row in rows], np.float32).reshape(len(rows), self.axes.shape[1])
+        self.lengths = np.linalg.norm(self.vectors.astype(np.float64), axis=1)
 
     def vector(self, at: np.ndarray, frequency: np.ndarray) -> np.ndarray:
-        """Latent vector of one document from the columns that it has."""
+        """Latent vector of one document from the columns that it has, in whole numbers."""
         v = (np.sqrt(frequency) * self.rarity[at]) @ self.axes[at]
         norm = np.linalg.norm(v)
-        return v / norm if norm > 0 else v
+        return np.rint(v * (UNIT / norm)) if norm > 0 else np.zeros_like(v)
+
+    def cosines(self, vectors: np.ndarray) -> np.ndarray:
+        """Exact products of rounded vectors with all labelled ones, divided by their lengths."""
+        lengths = np.linalg.norm(vectors.astype(np.float64), axis=1)[:, None] * self.lengths
+        products = (vectors @ self.vectors.T).astype(np.float64)
+        return np.divide(products, lengths, out=np.zeros_like(products), where=lengths > 0)
+
+    def _vote(self, cosines: np.ndarray, labels: np.ndarray) -> float:
+        weight = np.maximum(cosines, 0) ** SHARPNESS
+        total = weight.sum()
+        return float((weight * labels).sum() / total) if total > 0 else self.prior
 
     def scores(self, rows: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> np.ndarray:
         out = np.full(len(rows), self.prior)
-        if not len(self.labels):
-            return out
-        for s in range(0, len(rows), BLOCK):
-            some = rows[s : s + BLOCK]
-            # One product per document, whose shape follows from its text alone: equal texts get equal scores.
-            v = [self.vector(*row) for row in some]
-            cosines = np.stack([self.vectors @ x for x in v]) if len(v) else np.empty((0, len(self.labels)), np.float32)
+        spoken = np.flatnonzero([len(at) > 0 for at, _ in rows]) if len(self.labels) else np.empty(0, int)
+        for s in range(0, len(spoken), BLOCK):
+            some = spoken[s : s + BLOCK]
+            cosines = self.cosines(np.array([self.vector(*rows[i]) for i in some], np.float32))
             n = min(k, cosines.shape[1])
-            near = np.argpartition(-cosines, n - 1, axis=1)[:, :n]
-            weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 0).astype(np.float64) ** SHARPNESS
-            total = weight.sum(axis=1)
-            vote = np.divide((weight * self.labels[near]).sum(axis=1), total, out=np.full(len(some), self.prior), where=total > 0)
-            spoken = np.array([len(at) > 0 for at, _ in some])
-            out[s : s + len(some)] = np.where(spoken, np.clip(vote, 0, 1), self.prior)
-        return out
+            least = np.partition(cosines, -n, axis=1)[:, -n]
+            for i, c, last in zip(some, cosines, least, strict=True):
+                near = np.flatnonzero(c >= last)  # those that tie with the last one count too
+                out[i] = self._vote(c[near], self.labels[near])
+        return np.clip(out, 0, 1)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -156,8 +163,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             rows = [terms.row(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))], ["doc_id", "label", "at", "v"])
 
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    rows = joined.mapInArrow(run, "doc_id long, label int, at array<int>, v array<float>").filter(F.size("at") > 0).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.col("text").isNotNull())
+    joined = labelled.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "label", "text")
+    rows = joined.mapInArrow(run, "doc_id long, label int, at array<int>, v array<float>").filter(F.size("at") > 0).orderBy("doc_id").collect()
     return Model([(np.array(r["at"], np.int32), np.array(r["v"], np.float32)) for r in rows], [r["label"] for r in rows])
 
 

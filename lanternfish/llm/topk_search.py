@@ -17,7 +17,8 @@ broadcast.
 Defined cases: vectors that are null, empty, or hold a null or non-finite
 component take no part; vectors of different lengths compare as if padded with
 zeros; rows that share the query's id are its own and no candidates; repeated
-rows count each; ties go to the smaller id; extra columns are ignored.
+rows count each; ties go to the smaller id; extra columns are ignored; components
+beyond the range of a long count as its ends.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ from .common import table
 K = 20
 SCALE = 64
 QUERY_EVERY = 20
-VECTORS_PER_GROUP = 16_384
-QUERIES_PER_GROUP = 1_024
+#: Of equal size, so that what both sides are copied into is least: (vectors x queries) / 4096 rows in all.
+VECTORS_PER_GROUP = QUERIES_PER_GROUP = 8_192
 #: Vectors of a shard scored in full to find first thresholds.
 SEED = 256
 
