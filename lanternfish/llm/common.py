@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -58,7 +60,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables of ``materialize`` that no later job reads; only what was built from them and written may be used on."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def by_place(df: DataFrame) -> DataFrame:
@@ -88,6 +100,30 @@ def per_worker(kind: Callable, path: str):
     return _MODELS[kind, path]
 
 
+def lean(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A function of batches that needs no model: its worker gives up those of other operators, and free memory at the end."""
+
+    def slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(only_with_models=True)
+        yield from run(batches)
+        give_back()
+
+    return slim
+
+
+def give_back(only_with_models: bool = False) -> None:
+    """This worker's models go, and free memory that it holds goes back to the system."""
+    if only_with_models and not _MODELS:
+        return
+    _MODELS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 class Memo(dict):
     """Answers of a function by text, remembered up to ``limit``; long texts are not kept."""
 
@@ -104,6 +140,23 @@ class Memo(dict):
         return out
 
 
+#: Bits of the map that keeps most texts without candidates from the shuffle: 2^20 words, about 32 MB, at most.
+FILTER_BITS = 1 << 26
+
+
+def may_be_in(rows: DataFrame, docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """rows without most of those whose doc is not in docs, before any shuffle.
+
+    docs sets bits of a map that has bits / 64 words at most, whatever its size,
+    so it can be broadcast. The fuller the map, the more rows pass in vain; a
+    join must follow.
+    """
+    place = F.pmod(F.xxhash64("doc"), F.lit(bits))
+    word, bit = F.shiftright(place, 6), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc), {int(bits)}L) & 63 as int))")
+    words = docs.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    return rows.join(F.broadcast(words), (word == F.col("_word")) & (bit.bitwiseAND(F.col("_bits")) != 0), "left_semi")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _small(e: DataFrame) -> DataFrame:
@@ -35,5 +35,6 @@ def components(links: DataFrame) -> DataFrame:
         if state == seen or not state["n"]:
             break
         seen = state
-        e = materialize(_small(_large(e)), "links")
+        before, e = e, materialize(_small(_large(e)), "links")
+        discard(before)
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

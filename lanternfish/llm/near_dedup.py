@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import grams, materialize, mix64, table, word_hashes
+from .common import discard, grams, lean, materialize, may_be_in, mix64, table, word_hashes
 from .components import components
 
 SHINGLE = 5
@@ -50,8 +50,6 @@ MISS = 1e-7
 NO_BUCKET = 3e-7
 #: Buckets over this size meet in blocks of about so many documents.
 LARGE, BLOCK, BLOCK_BYTES = 64, 512, 1 << 23
-#: Bits of the map that keeps most texts without candidates from the shuffle: 2^20 words, about 32 MB, at most.
-FILTER_BITS = 1 << 26
 
 _RNG = np.random.default_rng(20240501)
 _A = (_RNG.integers(1, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -144,7 +142,7 @@ def features(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
                 bands.append(band_keys(sig, percent) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "key", "sig", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, sig binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_shingles long, key binary, sig binary, bands array<long>")
 
 
 def _pruned(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
@@ -157,7 +155,7 @@ def _pruned(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
                 yield b.select([0, 1]).filter(pa.array(stay))
 
     left, right = (sigs.select(F.col("doc").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(lean(run), "a long, b long")
 
 
 def linked(p: np.ndarray, q: np.ndarray, percent: int = PERCENT) -> bool:
@@ -180,7 +178,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield b.select([0, 1]).filter(pa.array(stay, pa.bool_()))
 
     left, right = (sets.select(F.col("doc").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(lean(run), "a long, b long")
 
 
 def _likely(x: tuple, k: int, y: tuple, percent: int) -> np.ndarray:
@@ -189,19 +187,6 @@ def _likely(x: tuple, k: int, y: tuple, percent: int) -> np.ndarray:
     return at[survive(np.broadcast_to(x[3][k], (len(at), HASHES)), y[3][at], percent)] if len(at) else at
 
 
-def _may_be_in(rows: DataFrame, docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """rows without most of those whose doc is not in docs, before any shuffle.
-
-    docs sets bits of a map that has bits / 64 words at most, whatever its size,
-    so it can be broadcast. The fuller the map, the more rows pass in vain; a
-    join must follow.
-    """
-    place = F.pmod(F.xxhash64("doc"), F.lit(bits))
-    word, bit = F.shiftright(place, 6), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc), {int(bits)}L) & 63 as int))")
-    words = docs.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    return rows.join(F.broadcast(words), (word == F.col("_word")) & (bit.bitwiseAND(F.col("_bits")) != 0), "left_semi")
-
-
 def _rows(b: pa.RecordBatch, *names: str):
     return zip(*[b.column(n).to_pylist() for n in names], strict=True)
 
@@ -240,7 +225,7 @@ def _small_pairs(rows: DataFrame, sigs: DataFrame, percent: int, best: bool) ->
             yield _pair_batch(found)
         yield _pair_batch(close())
 
-    return full.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long").distinct()
+    return full.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _block_links(rows: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -312,8 +297,8 @@ def find_links(found: DataFrame, docs: DataFrame, percent: int = PERCENT, shingl
                 sets = [shingles(t, shingle) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_key(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc", "key", "shingles"])
 
-    texts = _may_be_in(docs.select(F.col("doc_id").alias("doc"), "text"), involved).join(involved, "doc", "left_semi")
-    sets = materialize(texts.mapInArrow(to_sets, "doc long, key binary, shingles binary").dropDuplicates(["doc", "key"]).drop("key"), "shingles")
+    texts = may_be_in(docs.select(F.col("doc_id").alias("doc"), "text"), involved).join(involved, "doc", "left_semi")
+    sets = materialize(texts.mapInArrow(lean(to_sets), "doc long, key binary, shingles binary").dropDuplicates(["doc", "key"]).drop("key"), "shingles")
 
     # Every member against its bucket's smallest.
     stars = members.filter("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
@@ -334,8 +319,11 @@ def find_links(found: DataFrame, docs: DataFrame, percent: int = PERCENT, shingl
     wide = materialize(now.filter(f"size > {int(large)}"), "wide")
     together = components(wide.select(F.col("pivot").alias("a"), F.col("doc").alias("b"))).select(F.col("node").alias("doc"), F.col("component").alias("group"))
     rows = wide.select("doc", "n", "comp").distinct().join(together, "doc").select("group", "doc", "n", "comp")
-    fourth = _block_links(materialize(_several(rows, "group"), "groups"), sigs, sets, percent)
-    return materialize(first.union(second).union(third).union(fourth).union(ties_of_ids), "all_links"), groups
+    met = materialize(_several(rows, "group"), "groups")
+    fourth = _block_links(met, sigs, sets, percent)
+    links = materialize(first.union(second).union(third).union(fourth).union(ties_of_ids), "all_links")
+    discard(members, sigs, sets, first, second, now, wide, met)
+    return links, groups
 
 
 def _several(rows: DataFrame, key: str) -> DataFrame:

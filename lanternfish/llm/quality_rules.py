@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import byte_words, covered, gram_ids, grams, map_by_place, table
+from .common import byte_words, covered, gram_ids, grams, lean, map_by_place, table
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -131,7 +131,7 @@ def score(docs: DataFrame, bands=BANDS, chunk_bytes: int = CHUNK_BYTES, max_bad:
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)]], ["doc_id", *_FIELDS])
 
     slim = docs.select("doc_id", "text")
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, {_DDL}")
+    return slim.mapInArrow(lean(run), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, {_DDL}")
 
 
 def keep_clean(docs: DataFrame, bands=BANDS, chunk_bytes: int = CHUNK_BYTES, max_bad: float = MAX_BAD_CHUNKS) -> DataFrame:
@@ -142,7 +142,7 @@ def keep_clean(docs: DataFrame, bands=BANDS, chunk_bytes: int = CHUNK_BYTES, max
         for b in batches:
             yield b.filter(pa.array([r[6] for r in _judge(b.column(at).to_pylist(), bands, chunk_bytes, max_bad)], pa.bool_()))
 
-    return map_by_place(docs, run, docs.schema)
+    return map_by_place(docs, lean(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,11 +39,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, by_place, byte_words, grams, map_by_place, materialize, mix64, table, word_hashes
+from .common import WORD, by_place, byte_words, discard, grams, lean, map_by_place, materialize, may_be_in, mix64, table, word_hashes
 
 WINDOW = 13
 ANCHOR = 7
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_500_000
 _WORD = re.compile(WORD)
 
 
@@ -90,7 +90,7 @@ def _classes(docs: DataFrame, window: int, anchor: int) -> DataFrame:
             end = np.concatenate([at[1:], [len(doc)]]) - 1
             yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(c[at]), pa.array(doc[at]), pa.array(doc[end])], ["anchor", "cls", "lo", "hi"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, cls long, lo long, hi long")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "anchor long, cls long, lo long, hi long")
 
 
 def _recurring(docs: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -118,7 +118,7 @@ def _places(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], ["low32", "cls", "doc", "mark", "start", "size"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "low32 int, cls long, doc long, mark int, start int, size int")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "low32 int, cls long, doc long, mark int, start int, size int")
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def _marked(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_text_mark(t) for t in b.column(1).to_pylist()], pa.int32()), b.column(1)], ["doc", "mark", "text"])
 
-    return docs.select("doc_id", "text").filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).mapInArrow(run, "doc long, mark int, text string")
+    return docs.select("doc_id", "text").filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).mapInArrow(lean(run), "doc long, mark int, text string")
 
 
 def _windows(marked: DataFrame, doubtful: DataFrame, window: int) -> DataFrame:
@@ -143,16 +143,19 @@ def _windows(marked: DataFrame, doubtful: DataFrame, window: int) -> DataFrame:
                 w1, w2 = grams(h, window), grams(word_hashes(text, other=True), window)
                 yield pa.RecordBatch.from_arrays([pa.array(w1[at].view(np.int64)), pa.array(w2[at].view(np.int64)), pa.array(np.full(len(at), i, np.int64)), pa.array(np.full(len(at), mark, np.int32)), pa.array(at.astype(np.int32))], ["w1", "w2", "doc", "mark", "start"])
 
-    return marked.join(lists, ["doc", "mark"]).mapInArrow(run, "w1 long, w2 long, doc long, mark int, start int")
+    return marked.join(lists, ["doc", "mark"]).mapInArrow(lean(run), "w1 long, w2 long, doc long, mark int, start int")
 
 
 def passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc, mark, start, size, first): runs of windows of a document that start in the earlier document ``first``."""
     recurring = materialize(_recurring(docs, window, anchor), "recurring")
     placed = materialize(_places(docs, window, anchor).join(recurring, ["low32", "cls"]).filter((F.col("doc") > F.col("first")) | F.col("mixed")).select("doc", "mark", "start", "size", "first"), "placed")
+    discard(recurring)
     whole = placed.filter(F.col("doc") > F.col("first"))
     doubtful = placed.filter(F.col("doc") == F.col("first")).select("doc", "mark", "start", "size")
-    singles = materialize(_windows(_marked(docs), doubtful, window), "windows")
+    # Texts without doubtful runs, most of them, stay out of the shuffle.
+    looked_at = may_be_in(docs.select(F.col("doc_id").alias("doc"), "text"), doubtful.select("doc").distinct())
+    singles = materialize(_windows(_marked(looked_at.withColumnRenamed("doc", "doc_id")), doubtful, window), "windows")
     least = singles.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").drop("last")
     alone = singles.join(least, ["w1", "w2"]).filter(F.col("doc") > F.col("first")).select("doc", "mark", "start", F.lit(1).alias("size"), "first")
     return whole.unionByName(alone)
@@ -230,7 +233,7 @@ def _located(docs: DataFrame, found: DataFrame, id_at: int, text_at: int) -> Dat
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_text_mark(t or "") for t in b.column(text_at).to_pylist()], pa.int32())], [*names, "_mark"])
 
     fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], "_mark int"])
-    rows = docs.mapInArrow(mark, fields)
+    rows = docs.mapInArrow(lean(mark), fields)
     return rows.join(lists, (rows[names[id_at]] == lists["doc"]) & (rows["_mark"] == lists["mark"]), "left").select(*[rows[n] for n in names], "passages")
 
 
@@ -262,7 +265,7 @@ def digest(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, chars: i
                 rows = [(len(ws), 0 if gone is None else int(gone.sum()), hashlib.sha256(_kept(ws, gone)).hexdigest()) for ws, gone in removed(block, window)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))]], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return _located(by_place(slim), passages(slim, window, anchor), 0, 1).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _located(by_place(slim), passages(slim, window, anchor), 0, 1).mapInArrow(lean(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut(text: str, gone: np.ndarray) -> str:
@@ -296,7 +299,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                 columns[text_at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return map_by_place(_located(by_place(docs), passages(docs, window, anchor), id_at, text_at), run, docs.schema)
+    return map_by_place(_located(by_place(docs), passages(docs, window, anchor), id_at, text_at), lean(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

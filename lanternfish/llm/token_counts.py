@@ -71,7 +71,7 @@ class TokenCounter:
     """Counts tokens as the tokenizers library does for a byte-level vocabulary file."""
 
     #: Pieces of text whose counts are remembered.
-    LIMIT = 400_000
+    LIMIT = 300_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
