@@ -20,7 +20,7 @@ class Merger:
     """
 
     #: Remembered answers; beyond it they are forgotten and worked out anew.
-    LIMIT = 300_000
+    LIMIT = 400_000
 
     def __init__(self, rank: Callable[[str, str], float | None]):
         self.rank = rank
@@ -120,7 +120,7 @@ class Transducer:
     tokens begin inside; see ``matrix``.
     """
 
-    STATES = 120_000
+    STATES = 160_000
 
     def __init__(self, tokens, merger: Merger):
         self.tokens, self.merger = frozenset(tokens), merger

@@ -221,7 +221,7 @@ class Codec:
     """Encodes and decodes as the sentencepiece library does for a model file."""
 
     #: Segments whose ids are remembered.
-    LIMIT = 200_000
+    LIMIT = 300_000
 
     def __init__(self, path: str):
         import sentencepiece
