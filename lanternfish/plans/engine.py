@@ -61,7 +61,7 @@ class Engine:
         return self._index(found)
 
     def _index(self, folder: Folder) -> dict:
-        scanned = files.scan(self.spark, folder.path, **self.settings.for_folder(folder))
+        scanned = files.scan(self.spark, folder.path, **self.settings.for_folder(folder), ignore=files.root_ignore(self.spark, folder.path))
         tracked = self.store.table("files").filter(F.col("source") == folder.path)
         status = self.store._snapshot(I.diff(tracked, scanned.select("source", "file_path", "mtime")))
         tally = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}

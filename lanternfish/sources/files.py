@@ -61,6 +61,19 @@ def wanted(relative: Column, length: Column, exclude: Sequence[str] = (), includ
     return out & (length <= max_kb * 1024) if max_kb > 0 else out
 
 
+def root_ignore(spark: SparkSession, root: str) -> str:
+    """Text of the .gitignore in a folder's root, empty without one; Spark's own readers pass over hidden files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/.gitignore")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return ""
+    stream = system.open(path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def scan(spark: SparkSession, root: str, exclude: Sequence[str] = (), include: Sequence[str] = (), max_kb: int = 0, ignore: str = "") -> DataFrame:
     """(source, file_path, mtime, length, content) of a folder's files; content is read only where it is asked for."""
     root = root.rstrip("/")

@@ -104,3 +104,12 @@ def test_stream_once(spark, folder, tmp_path):
     q = stream(e, str(folder), str(tmp_path / "ckpt"), once=True)
     q.awaitTermination(120)
     assert e.store.table("chunks").count() == 3
+
+
+def test_the_engine_reads_the_root_gitignore(spark, folder, tmp_path):
+    (folder / ".gitignore").write_text("b.py\nlogs/\n")
+    (folder / "logs").mkdir()
+    (folder / "logs" / "d.md").write_text("# A log\n\nthat is of no interest to anybody\n")
+    engine = Engine(spark, str(tmp_path / "index"), config.from_dict({"folders": [{"path": str(folder), "exclude_patterns": ["vendor"]}]}))
+    engine.index()
+    assert [os.path.basename(r["file_path"]) for r in engine.store.table("files").collect()] == ["a.md"]
