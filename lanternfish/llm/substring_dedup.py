@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, by_place, byte_words, discard, grams, lean, map_by_place, materialize, may_be_in, mix64, table, word_hashes
+from .common import WORD, by_place, byte_words, discard, grams, lean, map_by_place, materialize, mix64, table, word_hashes
 
 WINDOW = 13
 ANCHOR = 7
@@ -153,9 +153,7 @@ def passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Dat
     discard(recurring)
     whole = placed.filter(F.col("doc") > F.col("first"))
     doubtful = placed.filter(F.col("doc") == F.col("first")).select("doc", "mark", "start", "size")
-    # Texts without doubtful runs, most of them, stay out of the shuffle.
-    looked_at = may_be_in(docs.select(F.col("doc_id").alias("doc"), "text"), doubtful.select("doc").distinct())
-    singles = materialize(_windows(_marked(looked_at.withColumnRenamed("doc", "doc_id")), doubtful, window), "windows")
+    singles = materialize(_windows(_marked(docs), doubtful, window), "windows")
     least = singles.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").drop("last")
     alone = singles.join(least, ["w1", "w2"]).filter(F.col("doc") > F.col("first")).select("doc", "mark", "start", F.lit(1).alias("size"), "first")
     return whole.unionByName(alone)
