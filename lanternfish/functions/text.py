@@ -17,8 +17,9 @@ _PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in _ACCENTED)
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents: composed letters lose theirs, combining marks go."""
-    return F.translate(F.lower(F.regexp_replace(text, r"\p{Mn}+", "")), _ACCENTED + _ACCENTED.lower(), (_PLAIN + _PLAIN.lower()).lower())
+    """Lower case without accents: composed letters lose theirs, combining marks go. ASCII has none to lose."""
+    plain = F.translate(F.lower(F.regexp_replace(text, r"\p{Mn}+", "")), _ACCENTED + _ACCENTED.lower(), (_PLAIN + _PLAIN.lower()).lower())
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(plain)
 
 
 def index_tokens(text: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Vector functions as Column expressions; all of them stay inside the JVM.
+"""Vector functions as Column expressions; all but distance_to stay inside the JVM.
 
 A vector is an array of floats, of tinyints (int8), or of longs whose bits are
 packed 64 to a word, least significant first (bit vectors). The element type is
@@ -8,11 +8,17 @@ the tag that says which. Arithmetic is in doubles.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NAN = float("nan")
+#: Vectors that are widened to doubles at a time.
+BLOCK = 512
 #: Width of one int8 step over [-1, 1], as a 32-bit float.
 STEP = "cast(cast(2.0D / 255.0D as float) as double)"
 
@@ -64,6 +70,42 @@ def distance_hamming(a: Column, b: Column) -> Column:
 DISTANCES = {"cosine": distance_cosine, "l2": distance_l2, "l1": distance_l1}
 
 
+def _rows_to(query: np.ndarray, metric: str):
+    """Distances of the rows of a matrix to one vector, each row by itself, so that equal rows are equally far."""
+    size = np.sqrt((query * query).sum())
+
+    def cosine(m: np.ndarray) -> np.ndarray:
+        norms = np.sqrt((m * m).sum(axis=1)) * size
+        return 1.0 - np.divide((m * query).sum(axis=1), norms, out=np.full(len(m), np.nan), where=norms != 0)
+
+    def l2(m: np.ndarray) -> np.ndarray:
+        m = m - query
+        return np.sqrt((m * m).sum(axis=1))
+
+    return {"cosine": cosine, "l2": l2, "l1": lambda m: np.abs(m - query).sum(axis=1)}[metric]
+
+
+def distance_to(v: Column, query: Sequence[float], metric: str = "cosine") -> Column:
+    """Distance of vectors to one query, by Arrow batches; null for a vector that is null, of another length, or has no direction.
+
+    A vector with a null or NaN component is at no distance either.
+    """
+    q = np.array([float(x) for x in query])
+
+    @F.arrow_udf("double")
+    def distances(a: pa.Array) -> pa.Array:
+        rows_to, out = _rows_to(q, metric), np.full(len(a), np.nan)
+        fits = pc.fill_null(pc.equal(pc.list_value_length(a), len(q)), False)
+        at = np.flatnonzero(fits.to_numpy(zero_copy_only=False))
+        for s in range(0, len(at), BLOCK):
+            part = a.take(pa.array(at[s : s + BLOCK])) if len(at) < len(a) else a.slice(s, BLOCK)
+            with np.errstate(all="ignore"):
+                out[at[s : s + BLOCK]] = rows_to(part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), len(q)))
+        return pa.array(out, pa.float64(), mask=np.isnan(out))
+
+    return distances(v)
+
+
 def length(v: Column) -> Column:
     return F.size(v)
 

@@ -71,7 +71,7 @@ def check_k(k: int) -> int:
 
 
 def with_distance(vectors: DataFrame, query: Sequence[float], metric: str = "cosine", embedding: str = "embedding") -> DataFrame:
-    return vectors.withColumn("distance", V.DISTANCES[metric](F.col(embedding), V.literal(query)))
+    return vectors.withColumn("distance", V.distance_to(F.col(embedding), query, metric))
 
 
 def usable(distance: Column) -> Column:
