@@ -1,4 +1,4 @@
-"""Vector functions as Column expressions; all but distance_to stay inside the JVM.
+"""Vector functions as Column expressions; all but distance_to and packing stay inside the JVM.
 
 A vector is an array of floats, of tinyints (int8), or of longs whose bits are
 packed 64 to a word, least significant first (bit vectors). The element type is
@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NAN = float("nan")
 #: Vectors that are widened to doubles at a time.
@@ -88,13 +89,24 @@ def _rows_to(query: np.ndarray, metric: str):
 def distance_to(v: Column, query: Sequence[float], metric: str = "cosine") -> Column:
     """Distance of vectors to one query, by Arrow batches; null for a vector that is null, of another length, or has no direction.
 
-    A vector with a null or NaN component is at no distance either.
+    A vector with a null or NaN component is at no distance either. Packed vectors
+    are read as they lie; a query's dimensions tell int8 and float32 apart.
     """
     q = np.array([float(x) for x in query])
 
-    @F.arrow_udf("double")
+    @F.arrow_udf(T.DoubleType())
     def distances(a: pa.Array) -> pa.Array:
         rows_to, out = _rows_to(q, metric), np.full(len(a), np.nan)
+        if pa.types.is_binary(a.type) or pa.types.is_large_binary(a.type):
+            sizes = pc.fill_null(pc.binary_length(a), -1).to_numpy(zero_copy_only=False)
+            for kind in ("<f4", "i1"):
+                at = np.flatnonzero(sizes == len(q) * np.dtype(kind).itemsize)
+                for s in range(0, len(at), BLOCK):
+                    here = at[s : s + BLOCK]
+                    joined = np.frombuffer(b"".join(a.take(pa.array(here)).to_pylist()), kind)
+                    with np.errstate(all="ignore"):
+                        out[here] = rows_to(joined.astype(np.float64).reshape(len(here), len(q)))
+            return pa.array(out, pa.float64(), mask=np.isnan(out))
         fits = pc.fill_null(pc.equal(pc.list_value_length(a), len(q)), False)
         at = np.flatnonzero(fits.to_numpy(zero_copy_only=False))
         for s in range(0, len(at), BLOCK):
@@ -106,6 +118,25 @@ def distance_to(v: Column, query: Sequence[float], metric: str = "cosine") -> Co
     return distances(v)
 
 
+@F.arrow_udf(T.BinaryType())
+def pack(a: pa.Array) -> pa.Array:
+    """Bytes of a vector: one for each int8, four (little-endian float32) for others; null of one that holds a null."""
+    kind = "i1" if pa.types.is_int8(a.type.value_type) else "<f4"
+    return pa.array([None if v is None or None in v else np.asarray(v, kind).tobytes() for v in a.to_pylist()], pa.binary())
+
+
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def unpack_float(a: pa.Array) -> pa.Array:
+    """Components of packed float32; null of bytes that are no multiple of four."""
+    return pa.array([None if b is None or len(b) % 4 else np.frombuffer(b, "<f4") for b in a.to_pylist()], pa.list_(pa.float32()))
+
+
+@F.arrow_udf(T.ArrayType(T.ByteType()))
+def unpack_int8(a: pa.Array) -> pa.Array:
+    """Components of packed int8."""
+    return pa.array([None if b is None else np.frombuffer(b, "i1") for b in a.to_pylist()], pa.list_(pa.int8()))
+
+
 def length(v: Column) -> Column:
     return F.size(v)
 

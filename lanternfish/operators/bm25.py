@@ -103,6 +103,10 @@ def _hits(p: Phrase, at: int, column: str | None):
     return fits
 
 
+def _minus(n: int):
+    return lambda x: x - F.lit(n)
+
+
 def _stored_frequency(p: Phrase) -> Column:
     """How often a phrase stands in the row whose postings are the array hits."""
     if not p.tokens:
@@ -114,7 +118,7 @@ def _stored_frequency(p: Phrase) -> Column:
         starts = None
         for at in range(len(p.tokens)):
             places = F.flatten(F.transform(F.filter("hits", _hits(p, at, c)), lambda h: h["positions"]))
-            begun = F.transform(places, lambda x, at=at: x - F.lit(at))
+            begun = F.transform(places, _minus(at))
             starts = begun if starts is None else F.array_intersect(starts, begun)
         counts.append(F.size(starts))
     return sum(counts[1:], counts[0])

@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lanternfish.functions.text import tokenize_query
 
@@ -27,6 +28,12 @@ def batches_by_budget(texts: Sequence[str], max_count: int, max_bytes: int) -> l
     return out
 
 
+def batch_bytes(rows: DataFrame, text: str = "chunk_text") -> DataFrame:
+    """One row (total, largest, texts): bytes of all texts together and of the largest; nulls don't count."""
+    size = F.octet_length(text)
+    return rows.agg(F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("total"), F.coalesce(F.max(size), F.lit(0)).cast("long").alias("largest"), F.count(text).alias("texts"))
+
+
 def fnv1a(data: bytes) -> int:
     h = 0x811C9DC5
     for b in data:

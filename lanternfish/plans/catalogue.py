@@ -117,6 +117,24 @@ def knn_batch_queries_by_20(spark, d):
     return knn.knn_batch(v, asked, 5).withColumn("distance", F.round("distance", 6) + 0.0)
 
 
+@query(f"{_VQ}, n AS (SELECT rowid, 1 - d AS score FROM (SELECT rowid, {_COS} AS d FROM v, q) WHERE 1 - d >= 0.3 AND rowid IN (SELECT doc_id FROM documents WHERE lang IN ('en', 'de')) ORDER BY d, rowid LIMIT 25) SELECT n.rowid, round(score, 6) AS score, source, lang AS language FROM n JOIN documents ON doc_id = n.rowid")
+def search_vectors_threshold(spark, d):
+    hits = knn.search_vectors(vectors(spark, d), chunks(spark, d), query_vector(spark, d), 25, 0.3, languages=["en", "de"])
+    return hits.select("rowid", F.round("score", 6).alias("score"), "source", "language")
+
+
+@query(ORACLES["knn_l2_top10"])
+def knn_packed_l2_top10(spark, d):
+    v = vectors(spark, d).select("rowid", V.pack("embedding").alias("embedding"))
+    return _shown(knn.knn(v, query_vector(spark, d), 10, "l2"))
+
+
+@query("SELECT vec_id AS rowid, len(embedding) AS dims, 'float32' AS kind, '[' || array_to_string(list_transform(embedding[1:4], lambda x: printf('%.6f', CAST(x AS DOUBLE))), ',') || ']' AS head FROM embeddings")
+def vec_kind_and_json(spark, d):
+    v = F.col("embedding")
+    return vectors(spark, d).select("rowid", V.length(v).cast("long").alias("dims"), V.kind(v).alias("kind"), V.to_json(V.cut(v, 0, 4)).alias("head"))
+
+
 _STEP = "CAST(CAST(CAST(2 AS DOUBLE) / CAST(255 AS DOUBLE) AS FLOAT) AS DOUBLE)"
 _INT8 = f"list_transform(embedding, lambda x: trunc(greatest(least((CAST(x AS DOUBLE) + 1) / {_STEP} - 128, 127), -128)))"
 
@@ -263,6 +281,29 @@ def postings_lookup(spark, d):
     return p.select("term", "rowid", F.size("positions").cast("long").alias("tf"), F.element_at("positions", 1).alias("first_pos"))
 
 
+def stored(spark: SparkSession, d: str) -> bm25.Stored:
+    """The inverted index of all documents, with its totals."""
+    i = bm25.index(chunks(spark, d))
+    total = i.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("tokens")).first()
+    return bm25.Stored(bm25.stored_postings(i), total["n"], total["tokens"] or 0)
+
+
+@query(ORACLES["bm25_or_top20"])
+def stored_bm25_or_top20(spark, d):
+    return _ranked(bm25.top(bm25.score(stored(spark, d), _terms("the", "haed", "ound"), bm25.any_of(3)), 20))
+
+
+@query(ORACLES["staged_fts_top20"])
+def stored_staged_top20(spark, d):
+    hits = bm25.staged(stored(spark, d), "thound erst haed", 20)
+    return hits.select("rowid", "stage", F.round("rank", 6).alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query(f"{_TOKENS}, {_bm25_sql(["(len(list_filter(list_zip(a, a[2:]), lambda p: p[1] = 'of' AND p[2] = 'the')))"], 'f0 > 0')}{_ENDING}")
+def stored_phrase_top20(spark, d):
+    return _ranked(bm25.top(bm25.score(stored(spark, d), [bm25.phrase("of the")], bm25.any_of(1)), 20))
+
+
 # ---------------------------------------------------------------- fusion
 
 _FTS50 = _bm25_sql(["x = 'the'", "x = 'ound'"], "f0 + f1 > 0", 50)
@@ -379,6 +420,28 @@ def prune_sources(spark, d):
     return pruned(customers, table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def prune_sources_of_small_orders(spark, d):
+    from lanternfish.operators.index import pruned
+
+    customers = table(spark, d, "customer").select("c_custkey", "c_name")
+    return pruned(customers, table(spark, d, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("SELECT page_id, CASE WHEN starts_with(url, 'https://example.com/') THEN 'https://example.com' WHEN starts_with(url, 'http://example.com/') THEN 'http://example.com/' WHEN starts_with(url, 'https://') THEN 'https:/' END AS folder FROM pages")
+def resolve_source_folders(spark, d):
+    from lanternfish.operators.documents import resolve_source
+
+    return table(spark, d, "pages").select("page_id", resolve_source(F.col("url"), ["https://example.com", "http://example.com/", "https:/"]).alias("folder"))
+
+
+@query("SELECT CAST(sum(strlen(text)) AS BIGINT) AS total, CAST(max(strlen(text)) AS BIGINT) AS largest, count(*) AS texts FROM documents WHERE text IS NOT NULL")
+def batch_bytes(spark, d):
+    from lanternfish.operators.embedding import batch_bytes
+
+    return batch_bytes(table(spark, d, "documents"), "text")
+
+
 @query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")
 def semi_rowids(spark, d):
     ids = table(spark, d, "lineitem").filter("l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey"))

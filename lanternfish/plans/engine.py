@@ -35,7 +35,7 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, settings: Settings, embedder: Q.Embedder | None = None, completer: Q.Completer | None = None):
         self.spark, self.settings, self.completer = spark, settings, completer
         self.embedder = embedder or HashEmbedder(settings.dimensions)
-        self.store = I.IndexStore(spark, root, settings.quantization)
+        self.store = I.IndexStore(spark, root)
         self.store.migrate()
         self.store.drop_other_vectors(self._meta())
 
@@ -47,7 +47,7 @@ class Engine:
 
     def _quantized(self, rows: DataFrame) -> DataFrame:
         v = F.col("embedding")
-        return rows.withColumn("embedding", V.quantize_int8(v) if self.settings.quantization == "int8" else v)
+        return rows.withColumn("embedding", V.pack(V.quantize_int8(v) if self.settings.quantization == "int8" else v))
 
     def reindex(self, folder: str, force: bool = False) -> dict:
         """Index one configured folder: changed files anew, deleted ones out; counts of both and of failures."""
@@ -58,7 +58,14 @@ class Engine:
         if force or self.store.needs_rebuild(folder, meta):
             self.store.clear_source(folder)
         self.store.set_meta(folder, meta)  # first, so that a run that stops is resumed and not begun anew
-        return self._index(found)
+        try:
+            out = self._index(found)
+        except Exception as e:
+            self.store.set_progress(folder, "failed", 0, 0, f"{type(e).__name__}: {e}"[:500])
+            raise
+        total = out["processed"] + out["skipped"]
+        self.store.set_progress(folder, "done", total, total - out["errors"], f"{out['errors']} files failed" if out["errors"] else None)
+        return out
 
     def _index(self, folder: Folder) -> dict:
         scanned = files.scan(self.spark, folder.path, **self.settings.for_folder(folder), ignore=files.root_ignore(self.spark, folder.path))
@@ -71,6 +78,7 @@ class Engine:
         if out["processed"] + out["deleted"] == 0:
             return out
         s = self.settings
+        self.store.set_progress(folder.path, "indexing", out["processed"] + out["skipped"], out["skipped"])
         made = self.store._snapshot(embed(chunk_table(todo, s.max_input_bytes), self.embedder, max_count=s.batch_size, max_bytes=s.batch_max_bytes))
         failed = made.filter("error IS NOT NULL OR embed_error IS NOT NULL").select("source", "file_path").distinct()
         good = made.join(failed, ["source", "file_path"], "left_anti").withColumn("rowid", I.rowid()).withColumn("folder", F.col("source"))
@@ -112,7 +120,7 @@ class Engine:
         by_text = dict(zip(asked, vectors, strict=True)) if vectors else {}
         if asked and not by_text and not any(t.wants_fts for t in tasks):
             raise RuntimeError("; ".join(warnings))
-        indexed = bm25.index(chunks)
+        indexed = self.store.keywords()
         sets = []
         for n, t in enumerate(tasks):
             f = t.filters
@@ -168,10 +176,11 @@ class Engine:
         return documents.multi_get(self.store.table("chunks"), patterns, max_bytes, self._context())
 
     def status(self) -> DataFrame:
-        """One row for each configured folder."""
+        """One row for each configured folder: its size, and what its last or present run is at."""
         rows = [(f.path, f.description) for f in self.settings.folders]
         folders = self.spark.createDataFrame(rows, "source string, description string")
-        return folders.join(self.store.status(), "source", "left").select("source", "description", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("chunks", F.lit(0)).alias("chunks"), "model", "dimensions", "quantization").orderBy("source")
+        told = folders.join(self.store.status(), "source", "left").join(self.store.progress(), "source", "left")
+        return told.select("source", "description", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("chunks", F.lit(0)).alias("chunks"), "model", "dimensions", "quantization", "state", F.coalesce("percent", F.lit(0.0)).alias("percent"), "error").orderBy("source")
 
     def status_json(self) -> list[str]:
         return [r[0] for r in self.status().select(F.to_json(F.struct("*"))).collect()]

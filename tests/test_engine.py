@@ -113,3 +113,68 @@ def test_the_engine_reads_the_root_gitignore(spark, folder, tmp_path):
     engine = Engine(spark, str(tmp_path / "index"), config.from_dict({"folders": [{"path": str(folder), "exclude_patterns": ["vendor"]}]}))
     engine.index()
     assert [os.path.basename(r["file_path"]) for r in engine.store.table("files").collect()] == ["a.md"]
+
+
+def test_search_reads_written_postings(spark, folder, tmp_path):
+    from lanternfish.operators import bm25
+
+    e = Engine(spark, str(tmp_path / "ix"), config.Settings(folders=(config.Folder(str(folder)),)))
+    e.index()
+    stored, scanned = e.store.keywords(), bm25.index(e.store.table("chunks"))
+    facts = bm25.corpus_stats(scanned).first()
+    assert (stored.documents, stored.tokens) == (facts["n"], facts["n"] * facts["avgdl"])
+    phrases = [bm25.phrase("the store"), bm25.phrase("ret", prefix=True), bm25.phrase("to open th", prefix=True), bm25.phrase("python", "language"), bm25.phrase("none")]
+    rows = lambda found: sorted((r["rowid"], round(r["rank"], 9), tuple(r["tf"])) for r in found.collect())
+    assert rows(bm25.score(stored, phrases)) == rows(bm25.score(scanned, phrases)) != []
+    for text in ("store retry", "stor", "nothing"):
+        assert bm25.staged(stored, text, 3).collect() == bm25.staged(scanned, text, 3).collect()
+
+
+def test_a_run_that_stops_leaves_the_old_rows(spark, folder, tmp_path, monkeypatch):
+    e = Engine(spark, str(tmp_path / "ix"), config.Settings(folders=(config.Folder(str(folder)),)))
+    e.index()
+    before = {n: sorted(map(repr, e.store.table(n).collect())) for n in ("chunks", "vectors", "files", "postings")}
+    (folder / "a.md").write_text("# Other\n\nnone of the words that stood here before\n")
+
+    def stops(state):
+        raise OSError("lost")
+
+    monkeypatch.setattr(e.store, "_commit", stops)
+    with pytest.raises(OSError):
+        e.index()
+    assert {n: sorted(map(repr, e.store.table(n).collect())) for n in before} == before
+    failed = e.status().first()
+    assert failed["state"] == "failed" and "lost" in failed["error"]
+    monkeypatch.undo()
+    assert e.index()[str(folder)]["processed"] == 1
+    done = e.status().first()
+    assert (done["state"], done["percent"], done["error"]) == ("done", 100.0, None)
+    assert e.search("lex:delay").results.count() == 0 and e.search("lex:words").results.count() == 1
+
+
+def test_tables_of_old_commits_go(spark, folder, tmp_path):
+    store = Engine(spark, str(tmp_path / "ix"), config.Settings(folders=(config.Folder(str(folder)),))).store
+    row = "SELECT 1L AS rowid, 's' AS source, 'f' AS file_path, 0 AS ordinal, 1 AS line_num, 2 AS end_line, 'a b' AS chunk_text, 's' AS folder, 'x' AS language, '' AS chunk_kind, '' AS symbol"
+    for n in range(4):
+        chunks = spark.sql(row)
+        vectors = spark.sql("SELECT 1L AS rowid, 's' AS source, X'0102' AS embedding")
+        store.replace_files(chunks, chunks, vectors, spark.sql(f"SELECT 's' AS source, 'f' AS file_path, {n}L AS mtime"))
+    assert len(os.listdir(tmp_path / "ix" / "commits")) in (2, 4)  # with or without checksums of the local file system
+    live = [d for d in os.listdir(tmp_path / "ix" / "data") if os.listdir(tmp_path / "ix" / "data" / d)]
+    assert len(live) == 2 and store.table("files").collect() == [("s", "f", 3)] and store.keywords().tokens == 3
+
+
+def test_tables_in_partitions_are_moved(spark, folder, tmp_path):
+    root = str(tmp_path / "old")
+    chunks = spark.sql("SELECT 1L AS rowid, 's' AS source, 'f' AS file_path, 0 AS ordinal, 1 AS line_num, 2 AS end_line, 'open store' AS chunk_text, 's' AS folder, 'go' AS language, '' AS chunk_kind, '' AS symbol")
+    vectors = spark.sql("SELECT id AS rowid, 's' AS source, array(1Y, -2Y) AS embedding FROM range(1, 3)")
+    for name, rows in (("chunks", chunks), ("vectors", vectors), ("files", spark.sql("SELECT 's' AS source, 'f' AS file_path, 5L AS mtime")), ("meta", spark.sql("SELECT 's' AS source, 'hash' AS model, 2 AS dimensions, 'int8' AS quantization, 8192 AS max_input_bytes"))):
+        rows.write.partitionBy("source").parquet(f"{root}/{name}")
+    spark.sql("SELECT 2 AS version").write.json(f"{root}/version")
+    from lanternfish.operators.index import IndexStore
+
+    store = IndexStore(spark, root)
+    store.migrate()
+    assert store.version() == 3 and store.meta("s") == Meta("hash", 2, "int8", 8192)
+    assert [(r["rowid"], bytes(r["embedding"])) for r in store.table("vectors").collect()] == [(1, b"\x01\xfe")]  # row 2 had no chunk
+    assert {r["term"] for r in store.table("postings").collect()} == {"open", "store", "go"}

@@ -103,3 +103,21 @@ def test_declared_table(spark, table):
         knn.VectorTable(0)
     with pytest.raises(Exception, match="expected 2"):
         knn.VectorTable(2).validated(table).collect()
+
+
+def test_distances_by_batches_equal_expressions(spark):
+    rows = [(1, [1.0, 2.0, -3.0]), (2, None), (3, [1.0, None, 0.0]), (4, [1.0, 2.0]), (5, [0.0, 0.0, 0.0]), (6, [float("nan"), 1.0, 1.0]), (7, [1.0, 2.0, -3.0])]
+    df = spark.createDataFrame(rows, "id long, v array<float>").coalesce(1)
+    for metric, by_expression in V.DISTANCES.items():
+        got = df.select("id", V.distance_to(F.col("v"), [1, 0, 2], metric).alias("a"), V.distance_to(V.pack("v"), [1, 0, 2], metric).alias("p"), by_expression(F.col("v"), V.literal([1, 0, 2])).alias("e")).collect()
+        for r in got:
+            assert r["a"] == r["p"]
+            assert r["a"] is None if r["e"] is None or r["e"] != r["e"] else r["a"] == pytest.approx(r["e"], abs=1e-12)
+        assert got[0]["a"] == got[6]["a"] is not None and got[1]["a"] is None and got[5]["a"] is None
+
+
+def test_packing_is_reversible(spark):
+    df = spark.createDataFrame([(1, [1.5, -2.0], [-128, 127]), (2, [], []), (3, None, None)], "id long, f array<float>, i array<tinyint>")
+    for c, back in (("f", V.unpack_float), ("i", V.unpack_int8)):
+        got = df.select(F.col(c).alias("v"), back(V.pack(c)).alias("b"), F.octet_length(V.pack(c)).alias("n")).collect()
+        assert all(r["v"] == r["b"] for r in got) and [r["n"] for r in got] == [8 if c == "f" else 2, 0, None]
