@@ -2,17 +2,18 @@
 
 One query is a literal in the plan, so its search is a projection and a bounded
 top-k in each partition (TakeOrderedAndProject) without any join. Many queries
-meet the vectors in blocks dealt out by key, and keep k rows each before the
+stream past groups of vectors dealt out by key, and keep k rows each before the
 shuffle that merges them. Filters stand below the distance and reach the scan.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,10 @@ from lanternfish.functions import vectors as V
 
 MAX_K = 4096
 MAX_DIMENSIONS = 8192
+#: Numbers in the vectors that a task holds, and in a block that it works on: 64 and 16 MB.
+GROUP_CELLS, BLOCK_CELLS = 1 << 23, 1 << 21
+#: What a matrix product may be wrong by, against the size of its operands.
+SLACK = 1e-9
 
 
 @dataclass(frozen=True)
@@ -101,36 +106,144 @@ def knn_per_partition(vectors: DataFrame, query: Sequence[float], k: int, partit
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= check_k(k))
 
 
+class _Shelf:
+    """Vectors of one group by rising key, against which queries are searched block by block.
+
+    A matrix product finds who may be among the k nearest; only those get a
+    distance. That is summed component by component, so it has the same bits
+    wherever a vector lies, and equal vectors are equally far. Of equal vectors
+    only the k smallest keys can count, so no others are kept.
+    """
+
+    def __init__(self, keys: np.ndarray, v: np.ndarray, k: int, metric: str):
+        self.k, self.metric = k, metric
+        norms = self._norms(v)
+        at = np.flatnonzero(self._near_any(v, norms))
+        at = at[np.argsort(keys[at], kind="stable")]
+        if len(at) > k:
+            same = pd.Series(pd.factorize(np.array([v[i].tobytes() for i in at], dtype=object))[0])
+            at = at[(same.groupby(same).cumcount() < k).to_numpy()]
+        self.keys, self.v, self.norms = keys[at], v[at], norms[at]
+
+    @staticmethod
+    def _sum(m: np.ndarray) -> np.ndarray:
+        return np.cumsum(m, axis=1)[:, -1] if m.shape[1] else np.zeros(len(m))
+
+    def _norms(self, m: np.ndarray) -> np.ndarray:
+        step = max(1, BLOCK_CELLS // max(1, m.shape[1]))
+        return np.concatenate([np.zeros(0), *[np.sqrt(self._sum(m[s : s + step] ** 2)) for s in range(0, len(m), step)]])
+
+    def _near_any(self, m: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        return norms > 0 if self.metric == "cosine" else ~np.isnan(norms)
+
+    def _exact(self, q: np.ndarray, sizes: np.ndarray, qi: np.ndarray, vi: np.ndarray) -> np.ndarray:
+        out, step = np.empty(len(qi)), max(1, BLOCK_CELLS // max(1, q.shape[1]))
+        for s in range(0, len(qi), step):
+            x, y = qi[s : s + step], vi[s : s + step]
+            a, b = q[x], self.v[y]
+            if self.metric == "cosine":
+                out[s : s + step] = 1 - self._sum(a * b) / (self.norms[y] * sizes[x])
+            else:
+                out[s : s + step] = self._sum(np.abs(b - a)) if self.metric == "l1" else np.sqrt(self._sum((b - a) ** 2))
+        return out
+
+    def _rough(self, q: np.ndarray, sizes: np.ndarray, begin: int, end: int) -> np.ndarray:
+        """What rises with the distance: of queries (rows) and a block of vectors."""
+        v = self.v[begin:end]
+        if self.metric == "l1":
+            out = np.zeros((len(q), len(v)))
+            for j in range(q.shape[1]):
+                out += np.abs(q[:, j, None] - v[None, :, j])
+            return out
+        if self.metric == "l2":
+            return (q @ (-2 * v).T) + (self.norms[begin:end] ** 2)[None, :] + (sizes**2)[:, None]
+        return (q / sizes[:, None]) @ (v / -self.norms[begin:end, None]).T + 1
+
+    def nearest(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of q, keys and distances of the k nearest of each."""
+        k, asked = self.k, len(q)
+        sizes = self._norms(q)
+        rows = np.flatnonzero(self._near_any(q, sizes))
+        q, sizes = q[rows], sizes[rows]
+        qi = vi = np.zeros(0, dtype=np.int64)
+        d = np.zeros(0)
+        if not (k and len(rows) and len(self.v)):
+            return qi, vi, d
+        # Far above the rounding of a product, so that it hides no vector from the exact distance; l1 has no product.
+        slack = {"cosine": SLACK * np.ones(len(q)), "l2": SLACK * (self.norms.max() + sizes) ** 2, "l1": np.zeros(len(q))}[self.metric]
+        worst = np.full(len(q), np.inf)
+        step = max(1, BLOCK_CELLS // asked)
+        for begin in range(0, len(self.v), step):
+            rough = self._rough(q, sizes, begin, begin + step)
+            limit = (worst**2 if self.metric == "l2" else worst) + slack
+            if begin == 0 and rough.shape[1] > k:
+                first = np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * slack
+                limit = np.where(np.isnan(first), np.inf, first)
+            x, y = np.nonzero(~(rough > limit[:, None]))
+            y += begin
+            far = self._exact(q, sizes, x, y)
+            real = ~np.isnan(far)
+            qi, vi, d = np.concatenate([qi, x[real]]), np.concatenate([vi, y[real]]), np.concatenate([d, far[real]])
+            order = np.lexsort((vi, d, qi))
+            qi, vi, d = qi[order], vi[order], d[order]
+            nth = np.arange(len(qi)) - np.searchsorted(qi, qi)
+            qi, vi, d, nth = qi[nth < k], vi[nth < k], d[nth < k], nth[nth < k]
+            worst[qi[nth == k - 1]] = d[nth == k - 1]
+        return rows[qi], self.keys[vi], d
+
+
+def _component(vectors: DataFrame, name: str) -> str:
+    """Type of the components of a column of vectors."""
+    kind = vectors.schema[name].dataType
+    return kind.elementType.simpleString() if isinstance(kind, T.ArrayType) else ""
+
+
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", key: str = "rowid", embedding: str = "embedding", vectors_per_group: int = 65_536, queries_per_group: int = 1_024) -> DataFrame:
     """The k nearest rows for each of many queries (query_id, embedding): query_id, rank, key, distance.
 
-    Both sides are dealt out into groups of bounded size that meet once each; a
-    pair of groups is one matrix product, and leaves k rows a query.
+    Vectors are dealt out once, into groups of bounded size; each group is held
+    by one task while all queries stream past it in blocks, and leaves k rows a
+    query. A vector that is null or of another length than the query, or holds a
+    null or NaN, is at no distance.
     """
-    n, m = vectors.count(), queries.count()
-    gv, gq = max(1, -(-n // vectors_per_group)), max(1, -(-m // queries_per_group))
-    left = vectors.select(F.col(key).alias("key"), F.col(embedding).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(gv)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(gq - 1))).alias("h"))
-    right = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(gq)).cast("int").alias("h"), F.explode(F.sequence(F.lit(0), F.lit(gv - 1))).alias("g"))
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"query_id": [], "key": [], "distance": []}).astype({"query_id": "int64", "key": "int64", "distance": "float64"})
-        a = a.sort_values("key")
-        v, q, keys = np.stack(list(a["v"])), np.stack(list(b["q"])), a["key"].to_numpy()
-        if metric == "l1":
-            d = np.stack([np.abs(v - x).sum(axis=1) for x in q])
-        elif metric == "l2":
-            d = np.sqrt(np.stack([((v - x) ** 2).sum(axis=1) for x in q]))
-        else:
-            size = np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1))
-            d = 1 - np.divide(q @ v.T, size, out=np.full_like(size, np.nan), where=size > 0)
-        order = np.argsort(np.where(np.isnan(d), np.inf, d), axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"query_id": np.repeat(b["query_id"].to_numpy(), order.shape[1]), "key": keys[order].ravel(), "distance": np.take_along_axis(d, order, axis=1).ravel()})
-        return out[out["distance"].notna()]
-
-    hits = left.groupBy("g", "h").cogroup(right.groupBy("g", "h")).applyInPandas(meet, "query_id long, key long, distance double")
+    check_k(k)
+    if metric not in V.DISTANCES:
+        raise ValueError(f"metric must be one of {sorted(V.DISTANCES)}")
+    n, width = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(embedding)), F.lit(0))).first()
+    held = max(1, min(vectors_per_group, GROUP_CELLS // max(1, width)))
+    groups = max(1, -(-n // held), min(2 * vectors.sparkSession.sparkContext.defaultParallelism, -(-n // 1_024)))
+    kinds = {_component(vectors, embedding), _component(queries, "embedding")}
+    kind = f"array<{kinds.pop()}>" if kinds in ({"float"}, {"tinyint"}) else "array<double>"
+    left = vectors.select(F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("g"), F.lit(0).alias("side"), F.col(key).cast("long").alias("id"), F.col(embedding).cast(kind).alias("v"))
+    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(1).alias("side"), F.col("query_id").cast("long").alias("id"), F.col("embedding").cast(kind).alias("v"))
+    dealt = left.unionByName(right).filter("v IS NOT NULL").withColumn("n", F.size("v")).repartitionById(groups, "g").sortWithinPartitions("g", "n", "side")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, shelf = None, [], None
+        for batch in batches:
+            marks = np.stack([batch.column(c).to_numpy() for c in ("g", "n", "side")], axis=1)
+            ends = [*(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1), len(marks)] if len(marks) else []
+            for begin, end in zip([0, *ends], ends, strict=False):
+                g, size, side = marks[begin].tolist()
+                if at != (g, size):
+                    at, parts, shelf = (g, size), [], None
+                ids = batch.column("id").slice(begin, end - begin).to_numpy(zero_copy_only=False)
+                m = batch.column("v").slice(begin, end - begin).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(end - begin, size)
+                if side == 0:
+                    parts.append((ids, m))
+                    continue
+                with np.errstate(all="ignore"):
+                    if parts:
+                        keys, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+                        parts, shelf = [], _Shelf(keys, v, k, metric)
+                        del v
+                    for s in range(0, len(ids) if shelf else 0, queries_per_group):
+                        rows, keys, d = shelf.nearest(m[s : s + queries_per_group])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[s + rows]), pa.array(keys), pa.array(d)], ["query_id", "key", "distance"])
+
+    hits = dealt.mapInArrow(meet, "query_id long, key long, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "key")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= check_k(k)).select("query_id", "rank", F.col("key").alias(key), "distance")
+    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("key").alias(key), "distance")
 
 
 def search_vectors(vectors: DataFrame, chunks: DataFrame, query: Sequence[float], top_k: int, threshold: float = 0.3, sources: Sequence[str] = (), languages: Sequence[str] = (), kinds: Sequence[str] = (), symbols: Sequence[str] = ()) -> DataFrame:

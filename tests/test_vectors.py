@@ -91,6 +91,39 @@ def test_knn_batch_equals_single(spark, table):
             assert [r["rowid"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [r["rowid"] for r in knn.knn(table, v, 3, metric).collect()]
 
 
+def test_knn_batch_holds_blocks(spark):
+    """A group of 40,000 vectors against a block of 1,024 queries: no matrix of all their distances at once."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    v, q = rng.integers(-3, 4, (40_000, 4)).astype(float), rng.integers(-3, 4, (1_024, 4)).astype(float)
+    shelf = knn._Shelf(np.arange(40_000), v, 5, "l1")
+    tracemalloc.start()
+    rows, keys, d = shelf.nearest(q)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6 and len(rows) == 5 * 1_024
+    for i in range(0, 1_024, 100):
+        far = np.abs(v - q[i]).sum(axis=1)
+        assert keys[rows == i].tolist() == np.lexsort((np.arange(40_000), far))[:5].tolist() and d[rows == i].tolist() == sorted(far)[:5]
+
+
+def test_knn_batch_ties_and_odd_vectors(spark):
+    """Copies are equally far wherever they lie; rows without a distance to the query are left out."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(7, 33)).tolist()
+    rows = [(i, base[i * i % 7]) for i in range(300)] + [(300, None), (301, [1.0] * 32 + [None]), (302, [1.0]), (303, [0.0] * 33), (304, [float("nan")] * 33)]
+    df = spark.createDataFrame(rows, "rowid long, embedding array<float>")
+    asked = df.filter("rowid < 7 OR rowid >= 300").withColumnRenamed("rowid", "query_id")
+    for metric in ("cosine", "l2", "l1"):
+        for size in (50, 65_536):
+            got = sorted(map(tuple, knn.knn_batch(df, asked, 60, metric, vectors_per_group=size, queries_per_group=3).select("query_id", "rank", "rowid").collect()))
+            for q in range(7):
+                want = [r["rowid"] for r in knn.knn(df, dict(rows)[q], 60, metric).collect()]
+                assert [r for i, _, r in got if i == q] == want
+            assert {i for i, _, _ in got} == {*range(7), 302, *([303] if metric != "cosine" else [])}
+
+
 def test_top_k_plan_has_no_join(table):
     plan = knn.knn(table, [1, 0, 0], 3)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "Join" not in plan
