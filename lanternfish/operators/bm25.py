@@ -3,7 +3,8 @@
 A search needs, per phrase, how many documents hold it and, per document, how
 often. Over a written index that is a read of the postings of the query's terms;
 without one, a scan of token arrays. Phrases are literals in the plan, so one pass
-yields every count; statistics are one row that is joined back as a scalar.
+yields every count; counts are kept, and statistics are one row of them that is
+joined back as a scalar.
 Ranking carries ids and scores only; text is joined after the limit.
 """
 
@@ -124,6 +125,14 @@ def _stored_frequency(p: Phrase) -> Column:
     return sum(counts[1:], counts[0])
 
 
+def _kept(counted: DataFrame) -> DataFrame:
+    """Counts of all rows, written to the checkpoint folder, so that texts are tokenized once for statistics and ranks.
+
+    Without such a folder they are counted for each of the two.
+    """
+    return counted.checkpoint() if counted.sparkSession.sparkContext.getCheckpointDir() else counted
+
+
 def _counted(indexed: DataFrame | Stored, phrases: Sequence[Phrase]) -> tuple[DataFrame, DataFrame]:
     """(rowid, source, dl, tf) of rows that hold a phrase, and one row (n, avgdl, df)."""
     frequent = F.array(*[F.count_if(F.col("tf")[i] > 0) for i in range(len(phrases))]).alias("df")
@@ -139,7 +148,7 @@ def _counted(indexed: DataFrame | Stored, phrases: Sequence[Phrase]) -> tuple[Da
         return counted, counted.agg(frequent).select(n, F.lit(indexed.tokens / max(1, indexed.documents)).alias("avgdl"), "df")
     columns = [c[2:] for c in indexed.columns if c.startswith("t_")]
     extra = ["source"] if "source" in indexed.columns else []
-    counted = indexed.select("rowid", *extra, "dl", F.array(*[_frequency(p, columns) for p in phrases]).alias("tf"))
+    counted = _kept(indexed.select("rowid", *extra, "dl", F.array(*[_frequency(p, columns) for p in phrases]).alias("tf")))
     return counted, counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), frequent)
 
 
